@@ -7,8 +7,8 @@ cheapest: a longer prefix, but more shared prefix shingles asked for before veri
 the smaller l of the two.
 
 1. Equal sets fold into one node, the smallest id.
-2. Prefix shingles meet by hash; a list of two or more is a family named after its smallest node. A node stays
-   only if enough of its prefix shingles are met by others.
+2. Prefix shingles meet by hash within bands of set sizes; two or more make a family named after its smallest node. A
+   node stays only if enough of its prefix shingles are met by others, and leaves families that no pair needs.
 3. A family splits by hash into chunks of bounded size. Inside a chunk, all pairs are counted as a matrix product over
    prefixes, and those with enough matches are verified on whole sets. Only the links of a spanning forest come out.
 4. Nodes outside their family's main component so far are held against its other chunks, in pairs of chunks.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -101,7 +101,7 @@ def choose(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[int, int]:
     seen = np.exp2(classes[(s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(float)) - 1
     rivals = np.cumsum(seen)
     best = None
-    for share in (50, 20, 10, 5):
+    for share in (20, 10, 5):
         many = 1 + n // share
         length = min(n, base + many)
         cost = POST_COST * length + VERIFY_COST * rivals[length - 1] / many
@@ -233,18 +233,24 @@ def _components_of(texts: DataFrame, width: int, percent: int) -> DataFrame:
     members = linkable.select("id", F.col("key").alias("k"), "n").join(folded, F.col("k") == F.col("key")).select("id", "n", "node", "key")
 
     nodes = linkable.join(folded.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("node")))
-    posts = nodes.select("node", "l", F.explode("prefix").alias("token"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("l").alias("least"), F.min("node").alias("family")).where("m > 1")
-    lists = materialise(lists.drop("m"), "join-lists").withColumnRenamed("token", "t")
-    met = posts.join(lists, F.col("token") == F.col("t")).groupBy("node", "family").agg(F.count("*").alias("met"), F.min("least").alias("least"))
-    met = materialise(met, "join-met")
-    stays = met.groupBy("node").agg(F.sum("met").alias("all_met"), F.min("least").alias("all_least")).where("all_met >= all_least").select(F.col("node").alias("id"))
-    stays = materialise(stays, "join-stays")
-    member = met.select("node", "family").join(stays.withColumnRenamed("id", "s"), F.col("node") == F.col("s")).drop("s")
+    posts = nodes.select("node", "n", "l", F.explode("prefix").alias("token"))
+    lists = materialise(posts.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select(F.col("token").alias("t")), "join-lists")
+    shared = materialise(posts.join(lists, F.col("token") == F.col("t")).drop("t"), "join-shared")
+    # sets of similar enough sizes lie in one size band or in neighbours: each posts to its own and the next
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.01 / percent))).cast("int")
+    shared = shared.withColumn("band", F.explode(F.array(band, band + 1)))
+    groups = shared.groupBy("token", "band").agg(F.count("*").alias("m"), F.min("l").alias("least"), F.min("node").alias("family")).where("m > 1")
+    groups = materialise(groups.select(F.col("token").alias("t"), F.col("band").alias("b"), "least", "family"), "join-groups")
+    hits = shared.join(groups, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("node", "n", "family", "token", "least")
+    met = materialise(hits.groupBy("node", "n", "family").agg(F.countDistinct("token").alias("met"), F.min("least").alias("least")), "join-met")
+    # a node stays if the others meet enough of its shingles, and leaves its smallest families while both members of a
+    # pair that shares enough must still meet in another: each may lose less than half of what they share
+    per_node = Window.partitionBy("node")
+    up = per_node.orderBy("met", "family").rowsBetween(Window.unboundedPreceding, 0)
+    member = met.withColumn("all_least", F.min("least").over(per_node)).withColumn("all_met", F.sum("met").over(per_node)).withColumn("lost", F.sum("met").over(up))
+    member = materialise(member.where("all_met >= all_least and lost > floor((all_least - 1) / 2)").select("node", "n", "family"), "join-members")
 
     # sizes of the families in shingles give their chunks
-    n_of = nodes.select(F.col("node").alias("x"), "n")
-    member = materialise(member.join(n_of, F.col("node") == F.col("x")).drop("x"), "join-members")
     family = member.groupBy("family").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")).where("size > 1").withColumnRenamed("family", "f")
     member = member.join(family.drop("size"), F.col("family") == F.col("f")).select("node", "family", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     member = materialise(member, "join-chunks")
