@@ -33,8 +33,10 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Output units: words of their own, groups of the other words; they make CLASSES classes of equal length.
 UNITS, GROUPS, CLASSES = 2048, 256, 48
 PER_CLASS = (UNITS + GROUPS) // CLASSES
-#: Vector length, context tokens, shared noise samples, tokens in a step, learning rate.
-DIM, CONTEXT, NOISE, STEP, RATE = 16, 4, 16, 2048, 0.15
+#: Vector length, context tokens, shared noise samples, tokens in the first and the longest steps, learning rate.
+DIM, CONTEXT, NOISE, STEP, LONG_STEP, RATE = 12, 4, 12, 2048, 16384, 0.15
+#: After so many steps the next are twice as long.
+SAME_STEPS = 32
 HEAD_BITS, PARTIAL_WORDS, KEPT_WORDS = 20, 200_000, 300_000
 #: The end token, which no word can be.
 END = b"\n"
@@ -145,7 +147,7 @@ class Model:
         for i in range(CONTEXT):
             ok = start[i + 1 :] > i
             has.append(ok)
-            q[i + 1 :] += np.where(ok[:, None], e[: len(e) - i - 1], 0) * self.params["D"][i]
+            q[i + 1 :] += np.where(ok[:, None], e[: max(0, len(e) - i - 1)], 0) * self.params["D"][i]
         return q, e, has
 
     def log10(self, slots: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -179,8 +181,8 @@ class Model:
         de = np.zeros_like(e)
         for i, ok in enumerate(has):
             back = np.where(ok[:, None], dq[i + 1 :], 0)
-            grads["D"][i] = (back * e[: len(e) - i - 1]).sum(0)
-            de[: len(e) - i - 1] += back * p["D"][i]
+            grads["D"][i] = (back * e[: max(0, len(e) - i - 1)]).sum(0)
+            de[: max(0, len(e) - i - 1)] += back * p["D"][i]
         for j in range(DIM):
             grads["R"][:, j] = np.bincount(slots, de[:, j], len(p["R"]))
         for n, g in grads.items():
@@ -190,6 +192,8 @@ class Model:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
+    if s.max(initial=0) < 60:  # no overflow: one pass less
+        return np.log(np.exp(s).sum(1))
     top = s.max(1)
     return np.log(np.exp(s - top[:, None]).sum(1)) + top
 
@@ -200,9 +204,10 @@ def _contrast(q, target, vectors, bias, p, rng, grad_v, grad_b) -> np.ndarray:
     shift = np.log(NOISE * p).astype(np.float32)
     true = 1 / (1 + np.exp(np.clip((q * vectors[target]).sum(1) + bias[target] - shift[target], -30, 30)))
     fake = -1 / (1 + np.exp(-np.clip(q @ vectors[noise].T + bias[noise] - shift[noise], -30, 30)))
-    weight = np.zeros((len(q), len(p)), np.float32)
-    weight[np.arange(len(q)), target] = true
-    np.add.at(weight.T, noise, fake.T)
+    drawn = np.zeros((NOISE, len(p)), np.float32)
+    drawn[np.arange(NOISE), noise] = 1
+    weight = fake @ drawn
+    weight[np.arange(len(q)), target] += true
     grad_v += weight.T @ q
     grad_b += weight.sum(0)
     return weight @ vectors
@@ -260,12 +265,16 @@ def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*shared.value)
         model = Model(v.n_unit)
-        reader, n = Reader(v, model.slot), 0
-        for _, _, codes, start in _token_batches(batches, reader, 16 * STEP):
+        reader, n, steps = Reader(v, model.slot), 0, 0
+        for _, _, codes, start in _token_batches(batches, reader, LONG_STEP):
             slots = codes % (UNITS + GROUPS)
             n += len(slots)
-            for at in range(0, len(slots), STEP):
-                model.step(slots[at : at + STEP], start[at : at + STEP])
+            at = 0
+            while at < len(slots):
+                size = min(LONG_STEP, STEP << min(steps // SAME_STEPS, 8))
+                size = len(slots) - at if len(slots) - at < 2 * size else size  # no short rest
+                model.step(slots[at : at + size], start[at : at + size])
+                at, steps = at + size, steps + 1
         if n:
             flat = [(model.params[k].astype(np.float64) * n).tobytes() for k in names]
             yield pa.record_batch([pa.array(names), pa.array(flat, pa.binary()), pa.array([n] * len(names), pa.int64())], names=["name", "sum", "n"])
@@ -314,7 +323,7 @@ def score_documents(
         own = np.log10(n_slot + 1)  # of a single word beyond the table, whose count the join adds
         log_c = np.log10(np.concatenate([[0], v.counts]) + 1)
         base = np.log10(v.total + v.distinct + 1)
-        for some, words, codes, start in _token_batches(batches, reader, 32 * STEP):
+        for some, words, codes, start in _token_batches(batches, reader, 4 * LONG_STEP):
             place, slots = np.divmod(codes, UNITS + GROUPS)
             doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
             lc = log_c[place]
