@@ -13,7 +13,9 @@ is a power of two.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,8 +40,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts by the tokenizer file; ids of the pieces it splits texts into are kept and used again.
 
-    The split is the byte-level one that the file names; each piece is encoded on its own by the tokenizer, as it does itself.
-    Special strings in a text are ordinary text.
+    The split is the byte-level one that the file names. A new piece is merged by the file's own ranks where that is seen to
+    give the tokenizer's ids, else by the tokenizer. Special strings in a text are ordinary text.
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,9 +61,28 @@ class Encoder:
         pre = conf.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not conf.get("normalizer")
         self.split = regex.compile(self.PIECE).findall if plain else None
+        self.merge = self._merger(conf) if plain else None
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        self.code = "H" if self.type == np.uint16 else "I"
         self.kept: dict[str, bytes] = {}
 
+    def _merger(self, conf: dict):
+        """Ids of a piece by the ranks of the file's vocabulary; None if they differ from the tokenizer's on a probe."""
+        import tiktoken
+
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        special = {t["content"] for t in conf.get("added_tokens", ())}
+        try:
+            ranks = {bytes(byte[c] for c in t): i for t, i in conf["model"]["vocab"].items() if t not in special}
+            merge = tiktoken.Encoding("ranks", pat_str=self.PIECE, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+            probe = [*(chr(c) * n for c in (32, 97, 228, 233, 8364, 128512) for n in (1, 2, 7)), " thereof", " Überraschungen", "ciónmente", "...!?", "\n\n", "12345", " xqzjk"]
+            if all(list(merge(x.encode())) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe if len(self.split(x)) == 1):
+                return merge
+        except (KeyError, ValueError, AttributeError):
+            pass
+        return None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if self.split is None:
@@ -75,12 +96,24 @@ class Encoder:
                 out.append(b"".join(map(kept.__getitem__, pieces)))
             except KeyError:
                 new = list(set(pieces).difference(kept))
-                for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    kept[piece] = np.array(e.ids, self.type).tobytes()
+                if self.merge:
+                    for piece in new:
+                        kept[piece] = array(self.code, self.merge(piece.encode())).tobytes()
+                else:
+                    for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+                        kept[piece] = np.array(e.ids, self.type).tobytes()
                 out.append(b"".join(map(kept.__getitem__, pieces)))
         return out
 
 
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each file in a worker process, which serves task after task."""
+    kept = sys.__dict__.setdefault("_tripleloom_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def tokenise(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id: int, window: int) -> DataFrame:
     """id, block, full and rem (windows and remainder), full_rank and rem_rank (inside the block), ids (little-endian unsigned 32-bit or 16-bit), width."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -88,7 +121,7 @@ def tokenise(docs: DataFrame, path: str, *, id_col: str, text_col: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         part, block, in_block = TaskContext.get().partitionId(), 0, BLOCK
         ranks = full_rank = None
         end = np.array([end_id], encoder.type).tobytes()
