@@ -42,7 +42,7 @@ def test_score_is_normalised():
     slots = rng.integers(0, n, 400)
     for _ in range(5):
         model.step(slots, np.arange(400))
-    context = [5, 900, 17, 3]
+    context = [5, 900, 17, 3]  # one more than the model looks back
     all_last = np.concatenate([[*context, s] for s in range(n)])
     p = model.log10(all_last, np.tile(np.arange(5), n)).reshape(n, 5)[:, 4]
     assert abs((10.0**p).sum() - 1) < 1e-3

@@ -34,7 +34,7 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 UNITS, GROUPS, CLASSES = 2048, 256, 48
 PER_CLASS = (UNITS + GROUPS) // CLASSES
 #: Vector length, context tokens, shared noise samples, tokens in the first and the longest steps, learning rate.
-DIM, CONTEXT, NOISE, STEP, LONG_STEP, RATE = 12, 4, 12, 2048, 16384, 0.15
+DIM, CONTEXT, NOISE, STEP, LONG_STEP, RATE = 8, 3, 8, 2048, 16384, 0.15
 #: After so many steps the next are twice as long.
 SAME_STEPS = 32
 HEAD_BITS, PARTIAL_WORDS, KEPT_WORDS = 20, 200_000, 300_000
@@ -204,13 +204,12 @@ def _contrast(q, target, vectors, bias, p, rng, grad_v, grad_b) -> np.ndarray:
     shift = np.log(NOISE * p).astype(np.float32)
     true = 1 / (1 + np.exp(np.clip((q * vectors[target]).sum(1) + bias[target] - shift[target], -30, 30)))
     fake = -1 / (1 + np.exp(-np.clip(q @ vectors[noise].T + bias[noise] - shift[noise], -30, 30)))
-    drawn = np.zeros((NOISE, len(p)), np.float32)
-    drawn[np.arange(NOISE), noise] = 1
-    weight = fake @ drawn
-    weight[np.arange(len(q)), target] += true
-    grad_v += weight.T @ q
-    grad_b += weight.sum(0)
-    return weight @ vectors
+    for j in range(q.shape[1]):
+        grad_v[:, j] += np.bincount(target, true * q[:, j], len(p))
+    np.add.at(grad_v, noise, fake.T @ q)
+    grad_b += np.bincount(target, true, len(p))
+    np.add.at(grad_b, noise, fake.sum(0))
+    return fake @ vectors[noise] + true[:, None] * vectors[target]
 
 
 class Reader:
