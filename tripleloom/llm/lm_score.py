@@ -126,6 +126,8 @@ class Model:
         mass = (n_unit[order] + 1).reshape(CLASSES, PER_CLASS)
         self.p_class = mass.sum(1) / mass.sum()
         self.p_unit = mass / mass.sum(1, keepdims=True)
+        self.cum_unit = np.cumsum(self.p_unit, 1)
+        self.shift_class, self.shift_unit = (np.log(NOISE * x).astype(np.float32) for x in (self.p_class, self.p_unit))
         rng = np.random.default_rng(11)
         f = np.float32
         self.params = {
@@ -167,15 +169,32 @@ class Model:
         """One contrastive update on consecutive tokens."""
         p = self.params
         q, e, has = self.contexts(slots, start)
-        k, inside = np.divmod(slots, PER_CLASS)
+        k = slots // PER_CLASS
         grads = {n: np.zeros_like(v) for n, v in p.items()}
-        dq = _contrast(q, k, p["C"], p["c"], self.p_class, self.rng, grads["C"], grads["c"])
+        drawn = np.minimum((self.rng.random(NOISE)[:, None] >= np.cumsum(self.p_class)).sum(1), CLASSES - 1)
+        dq = _pull(q, k, p["C"], p["c"], self.shift_class, grads["C"], grads["c"])
+        push, of_v, of_b = _push(q, p["C"][drawn], (p["c"] - self.shift_class)[drawn])
+        dq += push
+        np.add.at(grads["C"], drawn, of_v)
+        np.add.at(grads["c"], drawn, of_b)
+        # all units at once towards their words; away from noise class by class, over tokens sorted by class
+        unit, bias, shift = p["U"].reshape(-1, DIM), p["u"].ravel(), self.shift_unit.ravel()
+        to_unit, to_bias = grads["U"].reshape(-1, DIM), grads["u"].ravel()
+        dq += _pull(q, slots, unit, bias, shift, to_unit, to_bias)
+        drawn = (self.rng.random((CLASSES, NOISE, 1)) >= self.cum_unit[:, None, :]).sum(2)
+        drawn = np.minimum(drawn, PER_CLASS - 1) + PER_CLASS * np.arange(CLASSES)[:, None]
         order = np.argsort(k, kind="stable")
         edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        by_class, away = q[order], np.empty_like(q)
+        of_v, of_b = np.zeros((CLASSES, NOISE, DIM), np.float32), np.zeros((CLASSES, NOISE), np.float32)
+        vectors, shifted = unit[drawn], (bias - shift)[drawn]
         for g in range(CLASSES):
             if edges[g] < edges[g + 1]:
-                rows = order[edges[g] : edges[g + 1]]
-                dq[rows] += _contrast(q[rows], inside[rows], p["U"][g], p["u"][g], self.p_unit[g], self.rng, grads["U"][g], grads["u"][g])
+                rows = slice(edges[g], edges[g + 1])
+                away[rows], of_v[g], of_b[g] = _push(by_class[rows], vectors[g], shifted[g])
+        dq[order] += away
+        np.add.at(to_unit, drawn.ravel(), of_v.reshape(-1, DIM))
+        np.add.at(to_bias, drawn.ravel(), of_b.ravel())
         de = np.zeros_like(e)
         for i, ok in enumerate(has):
             back = np.where(ok[:, None], dq[i + 1 :], 0)
@@ -196,18 +215,20 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
     return np.log(np.exp(s - top[:, None]).sum(1)) + top
 
 
-def _contrast(q, target, vectors, bias, p, rng, grad_v, grad_b) -> np.ndarray:
-    """Ascends the contrastive objective of target rows against NOISE samples of p shared by the batch; returns the gradient for q."""
-    noise = np.minimum(np.searchsorted(np.cumsum(p), rng.random(NOISE)), len(p) - 1)
-    shift = np.log(NOISE * p).astype(np.float32)
-    true = 1 / (1 + np.exp(np.clip((q * vectors[target]).sum(1) + bias[target] - shift[target], -30, 30)))
-    fake = -1 / (1 + np.exp(-np.clip(q @ vectors[noise].T + bias[noise] - shift[noise], -30, 30)))
+def _pull(q, target, vectors, bias, shift, grad_v, grad_b) -> np.ndarray:
+    """Ascends the contrastive objective's part of the true rows; returns the gradient for q."""
+    v = vectors[target]
+    true = 1 / (1 + np.exp(np.clip((q * v).sum(1) + (bias - shift)[target], -30, 30)))
     for j in range(q.shape[1]):
-        grad_v[:, j] += np.bincount(target, true * q[:, j], len(p))
-    np.add.at(grad_v, noise, fake.T @ q)
-    grad_b += np.bincount(target, true, len(p))
-    np.add.at(grad_b, noise, fake.sum(0))
-    return fake @ vectors[noise] + true[:, None] * vectors[target]
+        grad_v[:, j] += np.bincount(target, true * q[:, j], len(bias))
+    grad_b += np.bincount(target, true, len(bias))
+    return true[:, None] * v
+
+
+def _push(q, vectors, shifted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of the noise rows, which the tokens share: gradients for q, the rows' vectors and biases."""
+    fake = -1 / (1 + np.exp(-np.clip(q @ vectors.T + shifted, -30, 30)))
+    return fake @ vectors, fake.T @ q, fake.sum(0)
 
 
 class Reader:
