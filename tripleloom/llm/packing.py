@@ -248,31 +248,28 @@ def pack(
         n_full += r["full"]
     plan = make_plan(histogram, window)
 
-    fulls = per_block.groupBy("block").agg(F.sum("full").alias("n")).select("block", F.lit(-1).cast("long").alias("rem"), "n")
-    before = Window.partitionBy("rem").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = fulls.unionByName(per_block.select("block", "rem", "n")).select("block", "rem", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    # at most `window` + 1 entries a block
-    bases = bases.groupBy("block").agg(F.collect_list("rem").alias("rems"), F.collect_list("base").alias("bases"))
-    bases = materialise(bases, "pack-bases").withColumnRenamed("block", "b")
-    rows = stored.join(bases, stored["block"] == bases["b"])
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    fulls = per_block.groupBy("block").agg(F.sum("full").alias("n")).select(F.col("block").alias("f"), earlier(Window.partitionBy()).alias("full_base"))
+    bases = per_block.select("block", "rem", earlier(Window.partitionBy("rem")).alias("base"))
+    bases = bases.join(fulls, F.col("block") == F.col("f")).select(F.col("block").alias("b"), F.col("rem").alias("r"), "base", "full_base")
+    bases = materialise(bases, "pack-bases")
+    # the table grows with the input: the same plan at every size
+    rows = stored.join(bases.hint("merge"), (F.col("block") == F.col("b")) & (F.col("rem") == F.col("r")))
     kind = stored.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
                 take, cols = [], [[] for _ in range(7)]
                 c = {n: some.column(n) for n in some.schema.names}
-                num = {n: c[n].to_numpy(zero_copy_only=False) for n in ("block", "full", "rem", "full_rank", "rem_rank", "width")}
+                num = {n: c[n].to_numpy(zero_copy_only=False) for n in ("full", "rem", "full_rank", "rem_rank", "width", "base", "full_base")}
                 for i in range(some.num_rows):
-                    if seen is None or seen[0] != num["block"][i]:
-                        seen = (num["block"][i], dict(zip(c["rems"][i].as_py(), c["bases"][i].as_py(), strict=True)))
-                    base, full, rem = seen[1], int(num["full"][i]), int(num["rem"][i])
+                    full, rem = int(num["full"][i]), int(num["rem"][i])
                     raw = np.frombuffer(c["ids"][i].as_buffer(), np.uint16 if num["width"][i] == 2 else np.uint32).astype("<u4")
-                    first = base[-1] + int(num["full_rank"][i])
+                    first = int(num["full_base"][i]) + int(num["full_rank"][i])
                     pieces = [(window, first + k, 0) for k in range(full)]
-                    pieces += [(n, n_full + seq, off) for n, seq, off in place(plan, rem, base[rem] + int(num["rem_rank"][i]))]
+                    pieces += [(n, n_full + seq, off) for n, seq, off in place(plan, rem, int(num["base"][i]) + int(num["rem_rank"][i]))]
                     start = 0
                     for n, seq, off in pieces:
                         ids = raw[start : start + n]
@@ -286,5 +283,5 @@ def pack(
                     names=["id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    out = rows.drop("b").mapInArrow(run, f"id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = rows.drop("b", "r").mapInArrow(run, f"id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
