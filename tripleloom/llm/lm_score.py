@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +37,8 @@ PER_CLASS = (UNITS + GROUPS) // CLASSES
 #: Vector length, context tokens, shared noise samples, tokens in a step, learning rate.
 DIM, CONTEXT, NOISE, STEP, RATE = 16, 4, 16, 2048, 0.15
 HEAD_BITS, PARTIAL_WORDS, KEPT_WORDS = 20, 200_000, 300_000
+#: Tokens scored at once, rows in a matrix product.
+BLOCK, ROWS = 8192, 256
 #: The end token, which no word can be.
 END = b"\n"
 
@@ -126,7 +129,7 @@ class Model:
         mass = (n_unit[order] + 1).reshape(CLASSES, PER_CLASS)
         self.p_class = mass.sum(1) / mass.sum()
         self.p_unit = mass / mass.sum(1, keepdims=True)
-        self.cum_unit = np.cumsum(self.p_unit, 1)
+        self.cum_unit = (np.cumsum(self.p_unit, 1) + np.arange(CLASSES)[:, None]).ravel()  # class g's from g to g + 1
         self.shift_class, self.shift_unit = (np.log(NOISE * x).astype(np.float32) for x in (self.p_class, self.p_unit))
         rng = np.random.default_rng(11)
         f = np.float32
@@ -138,101 +141,158 @@ class Model:
         self.params["U"] += rng.normal(0, 0.05, self.params["U"].shape).astype(f)
         self.seen = {k: np.full(v.shape, 1e-2, f) for k, v in self.params.items()}
         self.rng = rng
+        # large temporaries stay: fresh pages would cost more than the arithmetic
+        self.grads, self.work = ({k: np.zeros_like(v) for k, v in self.params.items() if k != "R"} for _ in range(2))
+        self.noise, self.away = (np.empty((STEP, n), f) for n in (NOISE, DIM))
+        self.scores = np.empty((BLOCK, max(CLASSES, PER_CLASS)), f)
 
     def contexts(self, slots: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Context vectors of the tokens, their vectors, and for each distance which tokens have one so far back in their text (start: place in the text)."""
-        e = self.params["R"][slots]
+        """Context vectors of the tokens, their vectors, and for each distance which tokens have none so far back in their text (start: place in the text)."""
+        e = self.params["R"].take(slots, 0)
         q = np.zeros_like(e)
-        has = []
+        lacks = []
         for i in range(CONTEXT):
-            ok = start[i + 1 :] > i
-            has.append(ok)
-            q[i + 1 :] += np.where(ok[:, None], e[: max(0, len(e) - i - 1)], 0) * self.params["D"][i]
-        return q, e, has
+            lacks.append(np.flatnonzero(start[i + 1 :] <= i))
+            part = e[: max(0, len(e) - i - 1)] * self.params["D"][i]
+            part[lacks[-1]] = 0
+            q[i + 1 :] += part
+        return q, e, lacks
 
     def log10(self, slots: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the units."""
-        q, _, _ = self.contexts(slots, start)
-        k, inside = np.divmod(slots, PER_CLASS)
-        s = q @ self.params["C"].T + self.params["c"]
-        out = s[np.arange(len(s)), k] - _log_sum(s)
-        order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            if edges[g] < edges[g + 1]:
-                rows = order[edges[g] : edges[g + 1]]
-                s = q[rows] @ self.params["U"][g].T + self.params["u"][g]
-                out[rows] += s[np.arange(len(s)), inside[rows]] - _log_sum(s)
+        out = np.empty(len(slots), np.float32)
+        for at in range(0, len(slots), BLOCK):
+            some, before = slots[at : at + BLOCK], max(0, at - CONTEXT)
+            q = self.contexts(slots[before : at + BLOCK], start[before : at + BLOCK])[0][at - before :]
+            order = np.argsort(some.astype(np.int16), kind="stable")
+            by_class, (k, inside) = q.take(order, 0), np.divmod(some[order], PER_CLASS)
+            each = np.arange(len(k))
+            s = _times(by_class, self.params["C"].T, self.scores[: len(k), :CLASSES])
+            s += self.params["c"]
+            found = s[each, k]
+            found -= _log_sum(s)
+            s = self.scores[: len(k), :PER_CLASS]
+            for g, rows in _classes(k):
+                _times(by_class[rows], self.params["U"][g].T, s[rows])
+                s[rows] += self.params["u"][g]
+            found += s[each, inside]
+            out[at + order] = found - _log_sum(s)
         return out.astype(np.float64) / np.log(10)
 
     def step(self, slots: np.ndarray, start: np.ndarray) -> None:
         """One contrastive update on consecutive tokens."""
         p = self.params
-        q, e, has = self.contexts(slots, start)
-        k = slots // PER_CLASS
-        grads = {n: np.zeros_like(v) for n, v in p.items()}
+        q_of, e, lacks = self.contexts(slots, start)
+        # sorted by unit the tokens are sorted by class too, and sums by either are sums of runs
+        order = np.argsort(slots.astype(np.int16), kind="stable")
+        sorted_, q = slots[order], q_of.take(order, 0)
+        k = sorted_ // PER_CLASS
+        first, first_k = _runs(sorted_), _runs(k)
+        seen, seen_k = sorted_[first], k[first_k]
+        grads, noise, away = self.grads, self.noise[: len(q)], self.away[: len(q)]
+        for g in grads.values():
+            g.fill(0)
+
         drawn = np.minimum((self.rng.random(NOISE)[:, None] >= np.cumsum(self.p_class)).sum(1), CLASSES - 1)
-        dq = _pull(q, k, p["C"], p["c"], self.shift_class, grads["C"], grads["c"])
-        push, of_v, of_b = _push(q, p["C"][drawn], (p["c"] - self.shift_class)[drawn])
-        dq += push
-        np.add.at(grads["C"], drawn, of_v)
-        np.add.at(grads["c"], drawn, of_b)
-        # all units at once towards their words; away from noise class by class, over tokens sorted by class
-        unit, bias, shift = p["U"].reshape(-1, DIM), p["u"].ravel(), self.shift_unit.ravel()
-        to_unit, to_bias = grads["U"].reshape(-1, DIM), grads["u"].ravel()
-        dq += _pull(q, slots, unit, bias, shift, to_unit, to_bias)
-        drawn = (self.rng.random((CLASSES, NOISE, 1)) >= self.cum_unit[:, None, :]).sum(2)
-        drawn = np.minimum(drawn, PER_CLASS - 1) + PER_CLASS * np.arange(CLASSES)[:, None]
-        order = np.argsort(k, kind="stable")
-        edges = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        by_class, away = q[order], np.empty_like(q)
+        dq, grads["C"][seen_k], grads["c"][seen_k] = _pull(q, p["C"].take(k, 0), (p["c"] - self.shift_class)[k], first_k)
+        v = p["C"][drawn]
+        fake = _fake(_times(q, v.T, noise), (p["c"] - self.shift_class)[drawn])
+        dq += _times(fake, v, away)
+        np.add.at(grads["C"], drawn, sum(fake[i : i + ROWS].T @ q[i : i + ROWS] for i in range(0, len(q), ROWS)))
+        np.add.at(grads["c"], drawn, fake.sum(0))
+
+        unit, to_unit = p["U"].reshape(-1, DIM), grads["U"].reshape(-1, DIM)
+        shifted, to_bias = (p["u"] - self.shift_unit).ravel(), grads["u"].ravel()
+        back, to_unit[seen], to_bias[seen] = _pull(q, unit.take(sorted_, 0), shifted[sorted_], first)
+        dq += back
+        of_class = np.arange(CLASSES)[:, None]
+        drawn = np.searchsorted(self.cum_unit, (self.rng.random((CLASSES, NOISE)) + of_class).ravel(), side="right").reshape(CLASSES, NOISE)
+        drawn = np.clip(drawn, PER_CLASS * of_class, PER_CLASS * (of_class + 1) - 1)
+        v, classes = unit.take(drawn, 0), _classes(k)
+        turned = np.ascontiguousarray(v.transpose(0, 2, 1))
+        for g, rows in classes:
+            np.dot(q[rows], turned[g], out=noise[rows])
+        fake = _fake(noise, shifted[drawn].take(k, 0))
         of_v, of_b = np.zeros((CLASSES, NOISE, DIM), np.float32), np.zeros((CLASSES, NOISE), np.float32)
-        vectors, shifted = unit[drawn], (bias - shift)[drawn]
-        for g in range(CLASSES):
-            if edges[g] < edges[g + 1]:
-                rows = slice(edges[g], edges[g + 1])
-                away[rows], of_v[g], of_b[g] = _push(by_class[rows], vectors[g], shifted[g])
-        dq[order] += away
-        np.add.at(to_unit, drawn.ravel(), of_v.reshape(-1, DIM))
-        np.add.at(to_bias, drawn.ravel(), of_b.ravel())
-        de = np.zeros_like(e)
-        for i, ok in enumerate(has):
-            back = np.where(ok[:, None], dq[i + 1 :], 0)
-            grads["D"][i] = (back * e[: max(0, len(e) - i - 1)]).sum(0)
-            de[: max(0, len(e) - i - 1)] += back * p["D"][i]
-        for j in range(DIM):
-            grads["R"][:, j] = np.bincount(slots, de[:, j], len(p["R"]))
+        for g, rows in classes:
+            some = fake[rows]
+            np.dot(some, v[g], out=away[rows])
+            np.dot(some.T, q[rows], out=of_v[g])
+        of_b[seen_k] = np.add.reduceat(fake, first_k)
+        dq += away
+        by_unit = np.argsort(drawn.ravel().astype(np.int16), kind="stable")
+        drawn = drawn.ravel()[by_unit]
+        runs = _runs(drawn)
+        to_unit[drawn[runs]] += np.add.reduceat(of_v.reshape(-1, DIM).take(by_unit, 0), runs)
+        to_bias[drawn[runs]] += np.add.reduceat(of_b.ravel()[by_unit], runs)
+
+        dq_of, de = np.empty_like(dq), np.zeros_like(e)
+        dq_of[order] = dq
+        for i, none in enumerate(lacks):
+            back, before = dq_of[i + 1 :].copy(), max(0, len(e) - i - 1)
+            back[none] = 0
+            grads["D"][i] = np.einsum("ij,ij->j", back, e[:before])
+            de[:before] += back * p["D"][i]
+        scale = 1 / max(1.0, len(slots) / 64)
+        # a word vector without a gradient stays as it is
+        g, rows = np.add.reduceat(de.take(order, 0), first) * np.float32(scale), self.seen["R"]
+        rows[seen] += g * g
+        p["R"][seen] += RATE * g / np.sqrt(rows[seen])
         for n, g in grads.items():
-            g /= max(1.0, len(slots) / 64)
-            self.seen[n] += g * g
-            p[n] += RATE * g / np.sqrt(self.seen[n])
+            g *= scale
+            w = np.multiply(g, g, out=self.work[n])
+            self.seen[n] += w
+            np.sqrt(self.seen[n], out=w)
+            np.divide(g, w, out=w)
+            w *= RATE
+            p[n] += w
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+
+
+def _classes(k: np.ndarray) -> list[tuple[int, slice]]:
+    """The classes in sorted k and their rows."""
+    edges = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
+    return [(g, slice(edges[g], edges[g + 1])) for g in range(CLASSES) if edges[g] < edges[g + 1]]
+
+
+def _times(q: np.ndarray, m: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """q @ m in blocks of rows too small for the linear algebra library to start threads, which cost tasks side by side more than they give."""
+    for i in range(0, len(q), ROWS):
+        np.matmul(q[i : i + ROWS], m, out=out[i : i + ROWS])
+    return out
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    if s.max(initial=0) < 60:  # no overflow: one pass less
-        return np.log(np.exp(s).sum(1))
+    """By row; s is used up."""
+    top = s.max(initial=0)
+    if top < 60:  # no overflow: one pass less
+        return np.log(np.exp(s, out=s).sum(1))
     top = s.max(1)
-    return np.log(np.exp(s - top[:, None]).sum(1)) + top
+    s -= top[:, None]
+    return np.log(np.exp(s, out=s).sum(1)) + top
 
 
-def _pull(q, target, vectors, bias, shift, grad_v, grad_b) -> np.ndarray:
-    """Ascends the contrastive objective's part of the true rows; returns the gradient for q."""
-    v = vectors[target]
-    true = 1 / (1 + np.exp(np.clip((q * v).sum(1) + (bias - shift)[target], -30, 30)))
-    for j in range(q.shape[1]):
-        grad_v[:, j] += np.bincount(target, true * q[:, j], len(bias))
-    grad_b += np.bincount(target, true, len(bias))
-    return true[:, None] * v
+def _pull(q, v, shifted, first) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contrastive objective's part of the true rows (v: each token's): gradients for q, and for the vectors and biases of each run."""
+    true = 1 / (1 + np.exp(np.minimum(np.maximum(np.einsum("ij,ij->i", q, v) + shifted, -30), 30)))
+    return true[:, None] * v, np.add.reduceat(true[:, None] * q, first), np.add.reduceat(true, first)
 
 
-def _push(q, vectors, shifted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The part of the noise rows, which the tokens share: gradients for q, the rows' vectors and biases."""
-    fake = -1 / (1 + np.exp(-np.clip(q @ vectors.T + shifted, -30, 30)))
-    return fake @ vectors, fake.T @ q, fake.sum(0)
+def _fake(s: np.ndarray, shifted: np.ndarray) -> np.ndarray:
+    """The part of the noise rows, which the tokens share, by their scores; s is used up."""
+    s += shifted
+    np.maximum(np.minimum(s, 30, out=s), -30, out=s)
+    np.exp(np.negative(s, out=s), out=s)
+    s += 1
+    return np.divide(-1, s, out=s)
 
 
 class Reader:
-    """Texts as tokens: for each its unit, and its place among the most frequent words (-1: not there). Words are kept between texts."""
+    """Words as tokens: for each its unit, and its place among the most frequent words (-1: not there). Words are kept between calls."""
 
     def __init__(self, v: Vocabulary, slot: np.ndarray) -> None:
         import xxhash
@@ -240,37 +300,37 @@ class Reader:
         self.v, self.slot, self.hash = v, slot, xxhash.xxh3_64_intdigest
         self.kept: dict[bytes, int] = {}
 
-    def tokens(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        """The words and the end, and their codes: (place + 1) * units + slot."""
-        ws = split_words(text)
-        ws.append(END)
-        kept = self.kept
-        try:
-            return ws, np.fromiter(map(kept.__getitem__, ws), np.int64, len(ws))
-        except KeyError:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            new = list(set(ws).difference(kept))
-            h = np.array([self.hash(w) - (1 << 63) for w in new], np.int64)
-            at = np.searchsorted(self.v.hashes, h)
-            n = len(self.v.hashes)
-            for w, x, i in zip(new, h.tolist(), at.tolist(), strict=True):
-                place = i if i < n and self.v.hashes[i] == x else -1
-                unit = self.v.units.get(w)
-                kept[w] = (place + 1) * (UNITS + GROUPS) + int(self.slot[group_of(w) if unit is None else unit])
-            return ws, np.fromiter(map(kept.__getitem__, ws), np.int64, len(ws))
+    def codes(self, ws: list[bytes]) -> np.ndarray:
+        """(place + 1) * units + slot of each word or end."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        out = np.fromiter(map(self.kept.get, ws, repeat(-1)), np.int64, len(ws))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            found = [ws[i] for i in missing]
+            new, of, crc, known = list(set(found)), self.hash, zlib.crc32, self.v.hashes
+            h = np.array([of(w) - (1 << 63) for w in new], np.int64)
+            at = np.searchsorted(known, h)
+            place = np.where(known[np.minimum(at, len(known) - 1)] == h, at, -1) if len(known) else np.full(len(new), -1)
+            unit = np.fromiter(map(self.v.units.get, new, repeat(-1)), np.int64, len(new))
+            group = UNITS + np.array([crc(w[-2:]) for w in new], np.int64) % GROUPS
+            codes = (place + 1) * (UNITS + GROUPS) + self.slot[np.where(unit < 0, group, unit)]
+            self.kept.update(zip(new, codes.tolist(), strict=True))
+            out[missing] = [self.kept[w] for w in found]
+        return out
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch], reader: Reader, least: int) -> Iterator[tuple]:
-    """Texts put together until they have `least` tokens: record batch, words, codes, place of each token in its text."""
+    """Texts put together until they have `least` tokens: record batch, each text's words and end, codes, place of each token in its text."""
     for batch in batches:
         first, got, size = 0, [], 0
         for i, text in enumerate(batch.column("text")):
-            got.append(reader.tokens(text.as_py()))
-            size += len(got[-1][0])
+            got.append(split_words(text.as_py()))
+            got[-1].append(END)
+            size += len(got[-1])
             if size >= least or i == batch.num_rows - 1:
-                start = np.concatenate([np.arange(len(x[0])) for x in got])
-                yield batch.slice(first, len(got)), [x[0] for x in got], np.concatenate([x[1] for x in got]), start
+                start = np.concatenate([np.arange(len(x)) for x in got])
+                yield batch.slice(first, len(got)), got, reader.codes(list(chain.from_iterable(got))), start
                 first, got, size = i + 1, [], 0
 
 
