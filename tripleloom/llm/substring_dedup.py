@@ -2,11 +2,13 @@
 
 Units are lines and, inside lines, sentences, each of at least `min_words` words. A unit is normalised (A-Z lower-cased,
 white space collapsed, outer punctuation dropped) and hashed to 128 bits. Digests meet in one aggregate over all
-documents, which keeps the earliest occurrence by (id, offset); every other occurrence is a removed span with its
-original offsets. Sentences find passages that sit in the middle of differing lines.
+documents, which keeps the earliest occurrence by (id, row, offset); every other occurrence is a removed span with its
+original offsets. Sentences find passages that sit in the middle of differing lines. Rows get stored numbers of their
+own, and spans belong to a row.
 
-Defined cases: a null text is empty. A null id ranks first. Rows that share id and text are one document: they keep and
-lose the same spans. Repeats inside one document count. Other columns are ignored. Empty in, empty out.
+Defined cases: a null text is empty. A null id ranks first. Rows that share an id, or have none, are documents of their
+own, in the order of their stored numbers; of rows that also share the text the first keeps it. Repeats inside one
+document count. Other columns are ignored. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -57,9 +59,14 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "".join([*kept, text[at:]]), [tuple(x) for x in merged]
 
 
-def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """id, spans: where each document repeats an earlier occurrence; only documents that do."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (unique, stored), id, text."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return materialise(rows, "dedup-rows")
+
+
+def repeated_units(rows: DataFrame, *, min_words: int = 8) -> DataFrame:
+    """row, spans: where each row of rows(row, id, text) repeats an earlier occurrence; only rows that do."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,33 +80,32 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                         starts.append(s)
                         ends.append(e)
                         digests.append(d)
+                take = pa.array(take, pa.int64())
                 yield pa.record_batch(
-                    [some.column("id").take(pa.array(take, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
-                    names=["id", "start", "end", "digest"],
+                    [some.column("row").take(take), some.column("id").take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
+                    names=["row", "id", "start", "end", "digest"],
                 )
 
-    units = rows.mapInArrow(run, f"id {kind}, start int, end int, digest binary")
-    groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "start")).alias("first")).where("n > 1").drop("n")
+    units = rows.mapInArrow(run, f"row long, id {kind}, start int, end int, digest binary")
+    groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1").drop("n")
     groups = materialise(groups, "repeated-digests").withColumnRenamed("digest", "d")
-    later = units.join(groups, units["digest"] == groups["d"]).where(~F.struct("id", "start").eqNullSafe(F.col("first")))
-    # a document's own spans
-    return later.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("id", id_col)
+    later = units.join(groups, units["digest"] == groups["d"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    # a row's own spans
+    return later.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
     """One row per document: id, n_removed (spans), removed_chars, n_chars, spans (merged, offsets of the original text), text (without them)."""
-    spans = repeated_units(docs, id_col=id_col, text_col=text_col, min_words=min_words).withColumnRenamed(id_col, "sid")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(spans, F.col("id").eqNullSafe(F.col("sid")), "left").drop("sid")
+    rows = numbered(docs, id_col, text_col)
+    spans = repeated_units(rows, min_words=min_words).withColumnRenamed("row", "r")
+    rows = rows.join(spans, F.col("row") == F.col("r"), "left").select("id", "text", "spans")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                # rows of one id with other texts share its spans; those beyond a text fall away
-                ends = [(x["start"], min(x["end"], len(text))) for x in found or () if x["start"] < len(text)]
-                left, merged = cut(text, ends)
+                left, merged = cut(text, [(x["start"], x["end"]) for x in found or ()])
                 done.append((len(merged), len(text) - len(left), len(text), [{"start": s, "end": e} for s, e in merged], left))
             n, removed, chars, spans, left = ([d[j] for d in done] for j in range(5))
             yield pa.record_batch(
