@@ -3,8 +3,14 @@
 Units are lines and, inside lines, sentences, each of at least `min_words` words. A unit is normalised (A-Z lower-cased,
 white space collapsed, outer punctuation dropped) and hashed to 128 bits. Digests meet in one aggregate over all
 documents, which keeps the earliest occurrence by (id, row, offset); every other occurrence is a removed span with its
-original offsets. Sentences find passages that sit in the middle of differing lines. Rows get stored numbers of their
-own, and spans belong to a row.
+original offsets. Rows get stored numbers of their own, and spans belong to a row.
+
+Passages that units miss, as they begin or end inside a sentence or consist of short ones, are found by words. Windows of
+WINDOW words are hashed, and the least hash of each STEP consecutive windows is an anchor (winnowing), so two occurrences
+of WINDOW + STEP - 1 words share an anchor wherever they begin. Anchors meet like units. Overlapping anchors that repeat
+the same place make a segment, which is lengthened by the words that agree before and after it; the nearest anchor
+is less than STEP words away, so STEP words on each side reach the ends. Runs of PASSAGE words and more are removed.
+An anchor is held against its earliest occurrence only: where that sits in a shorter repeat, up to STEP words stay.
 
 Defined cases: a null text is empty. A null id ranks first. Rows that share an id, or have none, are documents of their
 own, in the order of their stored numbers; of rows that also share the text the first keeps it. Repeats inside one
@@ -17,15 +23,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import WORD, materialise
+from .ngram_join import Shingler
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 TRIM = b" \t\r\x0b\x0c.,;:!?\"'()[]{}-"
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+WORDS = re.compile(WORD)
+#: Words in a hashed window, windows of which one is an anchor, words of a run that is removed: WINDOW + STEP - 1 < PASSAGE.
+WINDOW, STEP, PASSAGE = 16, 24, 40
 
 
 def units_of(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
@@ -44,6 +55,32 @@ def units_of(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def anchors_of(windows: np.ndarray) -> np.ndarray:
+    """Places of the least of each STEP consecutive windows."""
+    if len(windows) < STEP:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(windows, STEP).argmin(1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def segments(found: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(start, end, first_row, first_start) in words: repeated anchors joined where they overlap at the same distance from the same row."""
+    out: list[list[int]] = []
+    for r, away, at in sorted((x["first_row"], x["start"] - x["first_start"], x["start"]) for x in found):
+        if out and out[-1][2] == r and out[-1][0] - out[-1][3] == away and at <= out[-1][1]:
+            out[-1][1] = at + WINDOW
+        else:
+            out.append([at, at + WINDOW, r, at - away])
+    return [tuple(x) for x in out]
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the first words are the same."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
     """The text without the spans, and the spans merged."""
     merged: list[list[int]] = []
@@ -66,10 +103,11 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_units(rows: DataFrame, *, min_words: int = 8) -> DataFrame:
-    """row, spans: where each row of rows(row, id, text) repeats an earlier occurrence; only rows that do."""
+    """row, spans (start, end, by_word: in words or in characters): where each row of rows(row, id, text) repeats an earlier occurrence; only rows that do."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(WINDOW)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -80,6 +118,12 @@ def repeated_units(rows: DataFrame, *, min_words: int = 8) -> DataFrame:
                         starts.append(s)
                         ends.append(e)
                         digests.append(d)
+                    windows = shingler.all(text)
+                    at_words = anchors_of(windows)
+                    take.extend([i] * len(at_words))
+                    starts.extend(at_words.tolist())
+                    ends.extend([-1] * len(at_words))  # an anchor, in words
+                    digests.extend(x.tobytes() for x in windows[at_words])
                 take = pa.array(take, pa.int64())
                 yield pa.record_batch(
                     [some.column("row").take(take), some.column("id").take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
@@ -90,8 +134,73 @@ def repeated_units(rows: DataFrame, *, min_words: int = 8) -> DataFrame:
     groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1").drop("n")
     groups = materialise(groups, "repeated-digests").withColumnRenamed("digest", "d")
     later = units.join(groups, units["digest"] == groups["d"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
+    later = later.select("row", "start", "end", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
+    later = materialise(later, "repeated-units")
+    # of anchors that overlap their own first occurrence that one stays
+    anchors = later.where((F.col("end") < 0) & ((F.col("row") != F.col("first_row")) | (F.col("start") >= F.col("first_start") + WINDOW)))
+    spans = later.where("end >= 0").select("row", "start", "end", F.lit(False).alias("by_word")).unionByName(passages(rows, anchors))
     # a row's own spans
-    return later.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("row").agg(F.collect_set(F.struct("start", "end", "by_word")).alias("spans"))
+
+
+def passages(rows: DataFrame, anchors: DataFrame) -> DataFrame:
+    """row, start, end, by_word: the runs of at least PASSAGE words around anchors(row, start, first_row, first_start), in words."""
+
+    def join_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(r, *x) for r, found in zip(batch.column("row").to_pylist(), batch.column("found").to_pylist(), strict=True) for x in segments(found)]
+            yield pa.record_batch([pa.array([m[j] for m in made], pa.int64()) for j in range(5)], names=["row", "start", "end", "first_row", "first_start"])
+
+    by_row = anchors.groupBy("row").agg(F.collect_list(F.struct("start", "first_row", "first_start")).alias("found"))
+    found = by_row.mapInArrow(join_anchors, "row long, start long, end long, first_row long, first_start long")
+    found = materialise(found.withColumn("first_end", F.col("first_start") + F.col("end") - F.col("start")), "repeated-segments")
+
+    # the words beside each segment and beside its first occurrence, read once a row
+    asked = found.select("row", "start", "end").unionByName(found.select(F.col("first_row").alias("row"), F.col("first_start").alias("start"), F.col("first_end").alias("end")))
+    asked = asked.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("asked")).withColumnRenamed("row", "r")
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(WINDOW)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some, made = batch.slice(at, 256), []
+                for r, text, wanted in zip(*(some.column(c).to_pylist() for c in ("row", "text", "asked")), strict=True):
+                    h = shingler.words(text)
+                    made += [(r, x["start"], x["end"], h[max(0, x["start"] - STEP) : x["start"]][::-1].tobytes(), h[x["end"] : x["end"] + STEP].tobytes()) for x in wanted]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.record_batch([pa.array([m[j] for m in made], k) for j, k in enumerate(kinds)], names=["r", "s", "e", "before", "after"])
+
+    sides = rows.join(asked, F.col("row") == F.col("r")).select("row", "text", "asked").mapInArrow(beside, "r long, s long, e long, before binary, after binary")
+    sides = materialise(sides, "repeated-sides")
+    firsts = sides.select(F.col("r").alias("fr"), F.col("s").alias("fs"), F.col("e").alias("fe"), F.col("before").alias("first_before"), F.col("after").alias("first_after"))
+    pairs = found.join(sides, (F.col("row") == F.col("r")) & (F.col("start") == F.col("s")) & (F.col("end") == F.col("e"))).drop("r", "s", "e")
+    pairs = pairs.join(firsts, (F.col("first_row") == F.col("fr")) & (F.col("first_start") == F.col("fs")) & (F.col("first_end") == F.col("fe")))
+    pairs = pairs.select("row", "start", "end", "first_row", "first_end", "before", "after", "first_before", "first_after")
+
+    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("row", "start", "end", "first_row", "first_end", "before", "after", "first_before", "first_after")
+        for batch in batches:
+            made = []
+            for row, start, end, first_row, first_end, *four in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                before, after, first_before, first_after = (np.frombuffer(x, np.uint64) for x in four)
+                back = agree(before, first_before)
+                if row == first_row:  # not into the first occurrence
+                    back = min(back, max(0, start - first_end))
+                s, e = start - back, end + agree(after, first_after)
+                if e - s >= PASSAGE:
+                    made.append((row, s, e))
+            yield pa.record_batch(
+                [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([True] * len(made), pa.bool_())],
+                names=["row", "start", "end", "by_word"],
+            )
+
+    return pairs.mapInArrow(lengthen, "row long, start int, end int, by_word boolean")
+
+
+def in_characters(text: str, found: list[dict]) -> list[tuple[int, int]]:
+    """Spans (start, end, by_word) as places in the text."""
+    at = [m.span() for m in WORDS.finditer(text)] if any(x["by_word"] for x in found) else []
+    return [(at[x["start"]][0], at[x["end"] - 1][1]) if x["by_word"] else (x["start"], x["end"]) for x in found]
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
@@ -105,7 +214,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             done = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                left, merged = cut(text, [(x["start"], x["end"]) for x in found or ()])
+                left, merged = cut(text, in_characters(text, found or []))
                 done.append((len(merged), len(text) - len(left), len(text), [{"start": s, "end": e} for s, e in merged], left))
             n, removed, chars, spans, left = ([d[j] for d in done] for j in range(5))
             yield pa.record_batch(
