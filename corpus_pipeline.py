@@ -29,11 +29,16 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar texts stays, the one with the smallest id: five words, similarity 0.8."""
-    found = jaccard_components(docs, width=5, percent=80)
-    # without an id there is nothing to prefer, and nothing is dropped
-    drop = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of similar texts stays, the one with the smallest id, then the smallest stored row number: five words, similarity 0.8."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = jaccard_components(rows, id_col="__row", width=5, percent=80)
+    # a component is named after its smallest row
+    others = materialise(found.where("__row <> component_id").select(F.col("__row").alias("r"), "component_id"), "near-others")
+    members = others.unionByName(others.select(F.col("component_id").alias("r"), "component_id").distinct())
+    members = materialise(members.join(rows.select("__row", "doc_id"), F.col("r") == F.col("__row")).select("r", "doc_id", "component_id"), "near-members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("best"))
+    drop = members.join(best.select(F.col("component_id").alias("c"), F.col("best.r").alias("stays")), F.col("component_id") == F.col("c")).where("r <> stays").select("r")
+    return rows.join(drop, F.col("__row") == F.col("r"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
