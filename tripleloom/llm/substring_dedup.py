@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, discard, materialise
 from .ngram_join import Shingler
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -55,12 +55,21 @@ def units_of(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def _slide(best: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """best of each STEP consecutive values, by doubling."""
+    width = 1
+    while 2 * width <= STEP:
+        x = best(x[:-width], x[width:])
+        width *= 2
+    return best(x[: len(x) - (STEP - width)], x[STEP - width :])
+
+
 def anchors_of(windows: np.ndarray) -> np.ndarray:
-    """Places of the least of each STEP consecutive windows."""
+    """Places of the least of each STEP consecutive windows, of equal ones all."""
     if len(windows) < STEP:
         return np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(windows, STEP).argmin(1)
-    return np.unique(least + np.arange(len(least)))
+    least = np.pad(_slide(np.minimum, windows), STEP - 1)
+    return np.flatnonzero(_slide(np.maximum, least) == windows)
 
 
 def segments(found: list[dict]) -> list[tuple[int, int, int, int]]:
@@ -132,10 +141,12 @@ def repeated_units(rows: DataFrame, *, min_words: int = 8) -> DataFrame:
 
     units = rows.mapInArrow(run, f"row long, id {kind}, start int, end int, digest binary")
     groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1").drop("n")
-    groups = materialise(groups, "repeated-digests").withColumnRenamed("digest", "d")
+    stored = materialise(groups, "repeated-digests")
+    groups = stored.withColumnRenamed("digest", "d")
     later = units.join(groups, units["digest"] == groups["d"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     later = later.select("row", "start", "end", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
     later = materialise(later, "repeated-units")
+    discard(stored)
     # of anchors that overlap their own first occurrence that one stays
     anchors = later.where((F.col("end") < 0) & ((F.col("row") != F.col("first_row")) | (F.col("start") >= F.col("first_start") + WINDOW)))
     spans = later.where("end >= 0").select("row", "start", "end", F.lit(False).alias("by_word")).unionByName(passages(rows, anchors))
@@ -194,7 +205,9 @@ def passages(rows: DataFrame, anchors: DataFrame) -> DataFrame:
                 names=["row", "start", "end", "by_word"],
             )
 
-    return pairs.mapInArrow(lengthen, "row long, start int, end int, by_word boolean")
+    out = materialise(pairs.mapInArrow(lengthen, "row long, start int, end int, by_word boolean"), "repeated-passages")
+    discard(found, sides)
+    return out
 
 
 def in_characters(text: str, found: list[dict]) -> list[tuple[int, int]]:
