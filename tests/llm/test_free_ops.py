@@ -139,12 +139,14 @@ def test_packing(table, request):
 
 
 def test_substring_dedup(spark, edge, corpus, empty):
-    shared = "This passage has certainly more than eight words in it, as one sees."
-    texts = [f"Before it. {shared} After it.", f"Other words {1}. {shared} Ending differently here.", f"{shared}\n{shared}", "Short. Short.", None]
+    line = "This line has, as one may count " + " ".join(f"word{i}" for i in range(40)) + " as one sees."
+    other = line.upper().replace(" ", " \t ") + "!"
+    short = "A line of few words that many documents share without being copies of each other."
+    texts = [f"{short}\n{line}\nAfter it.", f"{short}\nOther words.\n  {other}\nEnding differently here.", f"{line}\n{line}", "Short. Short.", None, f"x{line}"[: len(line) // 2]]
     got = substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert got[0].spans == [] and got[0].text == texts[0]
-    assert [texts[1][s.start : s.end] for s in got[1].spans] == [shared] and got[1].text == "Other words 1.  Ending differently here."
-    assert got[2].text == "\n" and got[2].n_removed == 2 and got[3].spans == [] and got[4].text == ""
+    assert [texts[1][s.start : s.end] for s in got[1].spans] == [other] and got[1].text == f"{short}\nOther words.\n  \nEnding differently here."
+    assert got[2].text == "\n" and got[2].n_removed == 2 and got[3].spans == [] and got[4].text == "" and got[5].spans == []
     for docs in (edge, corpus, empty):
         rows = docs.select("doc_id", "text").collect()
         out = substring_dedup(docs).collect()
@@ -157,9 +159,36 @@ def test_substring_dedup(spark, edge, corpus, empty):
             left.append(text[at : s.start])
             at = s.end
         assert "".join([*left, text[at:]]) == r.text
-        for line in r.text.split("\n"):
-            ws = line.lower().split()
-            if len(ws) >= 8 and line in text.split("\n"):
+        for l in r.text.split("\n"):
+            ws = l.lower().split()
+            if len(ws) >= 40 and l in text.split("\n"):
                 key = " ".join(ws).strip(" .,;:!?\"'()[]{}-")
                 assert key not in firsts
                 firsts.add(key)
+
+
+def test_repeats_against_brute_force(corpus):
+    """Every run of 40 words and more that the corpus repeats goes but for once, and no other word does."""
+    rows = sorted(((r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()), key=lambda r: r[0])
+    out = {r.doc_id: r for r in substring_dedup(corpus).collect()}
+    seen: set = set()
+    more = less = repeated_words = 0
+    for d, text in rows:
+        spans = [m.span() for m in WORD.finditer(text)]
+        ws = [text[s:e].translate(LOW) for s, e in spans]
+        grams = [tuple(ws[i : i + 40]) for i in range(len(ws) - 39)]
+        repeated = np.zeros(len(ws), bool)
+        for i, g in enumerate(grams):
+            if i >= 40:
+                seen.add(grams[i - 40])  # a run repeats what ends before it
+            if g in seen:
+                repeated[i : i + 40] = True
+        seen.update(grams)
+        cut = np.zeros(len(text) + 1, bool)
+        for s in out[d].spans:
+            cut[s.start : s.end] = True
+        gone = np.array([cut[s] for s, _ in spans], bool)
+        repeated_words += repeated.sum()
+        more += (gone & ~repeated).sum()
+        less += (repeated & ~gone).sum()
+    assert repeated_words > 5000 and less <= 0.01 * repeated_words and more <= 0.01 * repeated_words, (repeated_words, less, more)

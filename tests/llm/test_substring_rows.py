@@ -5,7 +5,7 @@ import pytest
 
 from tripleloom.llm.substring_dedup import substring_dedup
 
-SHARED = "this passage has certainly more than eight words in it as one sees."
+SHARED = "this passage has certainly more than forty words " + " ".join(f"n{i}" for i in range(40)) + " as one sees."
 
 
 def prose(seed, n):
@@ -16,7 +16,7 @@ def prose(seed, n):
 @pytest.mark.parametrize("id_", [None, 7])
 def test_rows_of_one_id_keep_their_own_text(spark, id_):
     """Spans of one row are not cut from others that share its id or also have none."""
-    lead = [prose(i, 15) for i in range(6)]
+    lead = [*(prose(i, 15) for i in range(5)), prose(5, 45)]
     texts = [f"{lead[0]}. {SHARED}", f"{SHARED} {lead[1]}.", f"{lead[2]}.", f"{lead[3]}. {SHARED} {lead[4]}.", lead[5], lead[5]]
     out = substring_dedup(spark.createDataFrame([(id_, t) for t in texts], "doc_id long, text string").repartition(3)).collect()
     left = Counter(w for r in out for w in r.text.split())

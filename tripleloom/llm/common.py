@@ -51,19 +51,33 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only on a single machine whose session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tripleloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: lineage ends there and lost executors cost no recomputation."""
+    """Writes df once to the shared folder and reads it back: lineage ends there and lost executors cost no recomputation.
+
+    Tables lie in a folder of the application, which goes when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tripleloom-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, fs = _hadoop(spark, folder)
+    fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -72,7 +86,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialise wrote and nothing will read again; Spark's cleaner then drops the shuffle files of their plans."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        spark._jvm.System.gc()
+        p, fs = _hadoop(df.sparkSession, df.stored_at)
+        fs.delete(p, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()

@@ -55,7 +55,9 @@ class Shingler:
         self.width, self.kept, self.hash = width, {}, xxhash.xxh3_64_intdigest
 
     def words(self, text: str) -> np.ndarray:
-        ws = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        return self.hashes(text.encode("utf-8", "surrogatepass").translate(LOWER).split())
+
+    def hashes(self, ws: list[bytes]) -> np.ndarray:
         kept = self.kept
         try:
             return np.fromiter(map(kept.__getitem__, ws), np.int64, len(ws)).view(np.uint64)

@@ -1,16 +1,17 @@
-"""Operator 5, substring dedup by line and sentence hashing.
+"""Operator 5, substring dedup by line and passage hashing.
 
-Units are lines and, inside lines, sentences, each of at least `min_words` words. A unit is normalised (A-Z lower-cased,
-white space collapsed, outer punctuation dropped) and hashed to 128 bits. Digests meet in one aggregate over all
-documents, which keeps the earliest occurrence by (id, row, offset); every other occurrence is a removed span with its
-original offsets. Rows get stored numbers of their own, and spans belong to a row.
+Units are lines of at least `min_words` words. A unit is normalised (A-Z lower-cased, white space collapsed, outer
+punctuation dropped) and hashed to 128 bits. Digests meet in one aggregate over all documents, which keeps the earliest
+occurrence by (id, row, offset); every other occurrence is a removed span with its original offsets. Rows get stored
+numbers of their own, and spans belong to a row.
 
-Passages that units miss, as they begin or end inside a sentence or consist of short ones, are found by words. Windows of
-WINDOW words are hashed, and the least hash of each STEP consecutive windows is an anchor (winnowing), so two occurrences
-of WINDOW + STEP - 1 words share an anchor wherever they begin. Anchors meet like units. Overlapping anchors that repeat
-the same place make a segment, which is lengthened by the words that agree before and after it; the nearest anchor
-is less than STEP words away, so STEP words on each side reach the ends. Runs of PASSAGE words and more are removed.
-An anchor is held against its earliest occurrence only: where that sits in a shorter repeat, up to STEP words stay.
+Passages that begin or end inside a line are found by words. Windows of WINDOW words are hashed, and the least hash of each
+STEP consecutive windows is an anchor (winnowing), so two occurrences of WINDOW + STEP - 1 words share an anchor wherever
+they begin. Anchors meet like units. Anchors that touch and repeat the same place make a segment, which is lengthened by
+the words that agree before and after it; the nearest anchor is less than STEP words away, so STEP words on each side reach
+the ends. Runs of PASSAGE words and more are removed. Repeats shorter than PASSAGE words stay: documents share short lines
+and sentences without being copies. An anchor is held against its earliest occurrence only: where that sits in a shorter
+repeat, up to STEP words stay.
 
 Defined cases: a null text is empty. A null id ranks first. Rows that share an id, or have none, are documents of their
 own, in the order of their stored numbers; of rows that also share the text the first keeps it. Repeats inside one
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +31,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, discard, materialise
-from .ngram_join import Shingler
+from .ngram_join import LOWER, Shingler
 
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-TRIM = b" \t\r\x0b\x0c.,;:!?\"'()[]{}-"
-LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+TRIM = b" .,;:!?\"'()[]{}-"
 WORDS = re.compile(WORD)
-#: Words in a hashed window, windows of which one is an anchor, words of a run that is removed: WINDOW + STEP - 1 < PASSAGE.
-WINDOW, STEP, PASSAGE = 16, 24, 40
-
-
-def units_of(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of a text's units, characters from 0."""
-    out, at = [], 0
+#: Words in a hashed window, windows of which one is an anchor, words of a run that is removed: WINDOW + STEP - 1 < PASSAGE, and anchors touch.
+WINDOW, STEP, PASSAGE = 20, 20, 40
+#: An odd factor of the windows' polynomial hash, and its inverse modulo 2**64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Texts whose words are hashed at once.
+TEXTS = 256
+
+
+def lines_of(text: str, min_words: int) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
+    """The words of a text, and (start, end, digest) of its lines of min_words words and more, characters from 0."""
+    words, units, at = [], [], 0
     for line in text.split("\n"):
-        spans = [(m.start(), m.end()) for m in SENTENCE.finditer(line)]
-        whole = (0, len(line))
-        for s, e in [whole, *(x for x in spans if x != whole)]:
-            words = line[s:e].encode("utf-8", "surrogatepass").translate(LOWER).split()
-            if len(words) >= min_words:
-                norm = b" ".join(words).strip(TRIM)
-                shift = len(line[s:e]) - len(line[s:e].lstrip())
-                out.append((at + s + shift, at + e, hashlib.md5(norm, usedforsecurity=False).digest()))
+        ws = line.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        words += ws
+        if len(ws) >= min_words:
+            norm = b" ".join(ws).strip(TRIM)
+            first = WORDS.search(line).start()
+            units.append((at + first, at + len(line), hashlib.md5(norm, usedforsecurity=False).digest()))
         at += len(line) + 1
-    return out
+    return words, units
 
 
 def _slide(best: np.ufunc, x: np.ndarray) -> np.ndarray:
@@ -64,16 +67,33 @@ def _slide(best: np.ufunc, x: np.ndarray) -> np.ndarray:
     return best(x[: len(x) - (STEP - width)], x[STEP - width :])
 
 
-def anchors_of(windows: np.ndarray) -> np.ndarray:
-    """Places of the least of each STEP consecutive windows, of equal ones all."""
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of WINDOW hashed words, as differences of one running sum."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), FACTOR, np.uint64)))])
+        out = (sums[WINDOW:] - sums[:-WINDOW]) * np.cumprod(np.full(len(words) - WINDOW + 1, INVERSE, np.uint64))
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
+
+
+def anchors_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in words, hash) of the least of each STEP consecutive windows, of equal ones all. words: of texts one after another."""
+    windows = window_hashes(words)
     if len(windows) < STEP:
-        return np.zeros(0, np.int64)
-    least = np.pad(_slide(np.minimum, windows), STEP - 1)
-    return np.flatnonzero(_slide(np.maximum, least) == windows)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), windows[:0]
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    least = _slide(np.minimum, windows)
+    # a group of windows counts only inside one text
+    least[text[: len(least)] != text[WINDOW + STEP - 2 :]] = 0
+    at = np.flatnonzero(_slide(np.maximum, np.pad(least, STEP - 1)) == windows)
+    return text[at], at - (np.cumsum(lengths) - lengths)[text[at]], windows[at]
 
 
 def segments(found: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(start, end, first_row, first_start) in words: repeated anchors joined where they overlap at the same distance from the same row."""
+    """(start, end, first_row, first_start) in words: repeated anchors joined where they touch at the same distance from the same row."""
     out: list[list[int]] = []
     for r, away, at in sorted((x["first_row"], x["start"] - x["first_start"], x["start"]) for x in found):
         if out and out[-1][2] == r and out[-1][0] - out[-1][3] == away and at <= out[-1][1]:
@@ -111,47 +131,42 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(rows, "dedup-rows")
 
 
-def repeated_units(rows: DataFrame, *, min_words: int = 8) -> DataFrame:
+def repeated_units(rows: DataFrame, *, min_words: int = PASSAGE) -> DataFrame:
     """row, spans (start, end, by_word: in words or in characters): where each row of rows(row, id, text) repeats an earlier occurrence; only rows that do."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(WINDOW)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                take, starts, ends, digests = [], [], [], []
-                for i, text in enumerate(some.column("text").to_pylist()):
-                    for s, e, d in units_of(text, min_words):
-                        take.append(i)
-                        starts.append(s)
-                        ends.append(e)
-                        digests.append(d)
-                    windows = shingler.all(text)
-                    at_words = anchors_of(windows)
-                    take.extend([i] * len(at_words))
-                    starts.extend(at_words.tolist())
-                    ends.extend([-1] * len(at_words))  # an anchor, in words
-                    digests.extend(x.tobytes() for x in windows[at_words])
-                take = pa.array(take, pa.int64())
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                words, units = zip(*(lines_of(t, min_words) for t in some.column("text").to_pylist()), strict=True)
+                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                text, place, hashes = anchors_of(shingler.hashes(list(chain.from_iterable(words))), lengths)
+                take = np.concatenate([np.repeat(np.arange(len(units)), [len(u) for u in units]), text])
+                units = list(chain.from_iterable(units))
                 yield pa.record_batch(
-                    [some.column("row").take(take), some.column("id").take(take), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())],
+                    [some.column(c).take(pa.array(take)) for c in ("row", "id")]
+                    + [pa.array([*(u[0] for u in units), *place.tolist()], pa.int32()), pa.array([u[1] for u in units] + [-1] * len(text), pa.int32()),  # -1: an anchor, in words
+                       pa.array([*(u[2] for u in units), *(x.tobytes() for x in hashes)], pa.binary())],
                     names=["row", "id", "start", "end", "digest"],
-                )
+                )
 
     units = rows.mapInArrow(run, f"row long, id {kind}, start int, end int, digest binary")
-    groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1").drop("n")
-    stored = materialise(groups, "repeated-digests")
-    groups = stored.withColumnRenamed("digest", "d")
-    later = units.join(groups, units["digest"] == groups["d"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
-    later = later.select("row", "start", "end", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
-    later = materialise(later, "repeated-units")
+    groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1")
+    stored = materialise(groups.select(F.col("digest").alias("d"), "first.row", "first.start"), "repeated-digests")
+    groups = stored.select("d", F.col("row").alias("first_row"), F.col("start").alias("first_start"))
+    later = units.drop("id").join(groups, units["digest"] == groups["d"]).where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
+    later = materialise(later.select("row", "start", "end", "first_row", "first_start"), "repeated-units")
     discard(stored)
     # of anchors that overlap their own first occurrence that one stays
     anchors = later.where((F.col("end") < 0) & ((F.col("row") != F.col("first_row")) | (F.col("start") >= F.col("first_start") + WINDOW)))
-    spans = later.where("end >= 0").select("row", "start", "end", F.lit(False).alias("by_word")).unionByName(passages(rows, anchors))
+    found = passages(rows, anchors)
+    spans = later.where("end >= 0").select("row", "start", "end", F.lit(False).alias("by_word")).unionByName(found)
     # a row's own spans
-    return spans.groupBy("row").agg(F.collect_set(F.struct("start", "end", "by_word")).alias("spans"))
+    spans = materialise(spans.groupBy("row").agg(F.collect_set(F.struct("start", "end", "by_word")).alias("spans")), "repeated-spans")
+    discard(later, found)
+    return spans
 
 
 def passages(rows: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -216,7 +231,7 @@ def in_characters(text: str, found: list[dict]) -> list[tuple[int, int]]:
     return [(at[x["start"]][0], at[x["end"] - 1][1]) if x["by_word"] else (x["start"], x["end"]) for x in found]
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = PASSAGE) -> DataFrame:
     """One row per document: id, n_removed (spans), removed_chars, n_chars, spans (merged, offsets of the original text), text (without them)."""
     rows = numbered(docs, id_col, text_col)
     spans = repeated_units(rows, min_words=min_words).withColumnRenamed("row", "r")
