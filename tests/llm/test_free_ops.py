@@ -179,8 +179,8 @@ def test_repeats_against_brute_force(corpus):
         grams = [tuple(ws[i : i + 40]) for i in range(len(ws) - 39)]
         repeated = np.zeros(len(ws), bool)
         for i, g in enumerate(grams):
-            if i >= 40:
-                seen.add(grams[i - 40])  # a run repeats what ends before it
+            if i >= 20:
+                seen.add(grams[i - 20])  # a text that repeats itself keeps a window at least
             if g in seen:
                 repeated[i : i + 40] = True
         seen.update(grams)

@@ -23,39 +23,34 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, discard, materialise
-from .ngram_join import LOWER, Shingler
+from .hashing import Hasher, Words, runs, slices
 
 TRIM = b" .,;:!?\"'()[]{}-"
 WORDS = re.compile(WORD)
 #: Words in a hashed window, windows of which one is an anchor, words of a run that is removed: WINDOW + STEP - 1 < PASSAGE, and anchors touch.
 WINDOW, STEP, PASSAGE = 20, 20, 40
-#: An odd factor of the windows' polynomial hash, and its inverse modulo 2**64.
-FACTOR = 0x9E3779B97F4A7C15
-INVERSE = pow(FACTOR, -1, 1 << 64)
-#: Texts whose words are hashed at once.
-TEXTS = 256
-
-
-def lines_of(text: str, min_words: int) -> tuple[list[bytes], list[tuple[int, int, bytes]]]:
-    """The words of a text, and (start, end, digest) of its lines of min_words words and more, characters from 0."""
-    words, units, at = [], [], 0
-    for line in text.split("\n"):
-        ws = line.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        words += ws
-        if len(ws) >= min_words:
-            norm = b" ".join(ws).strip(TRIM)
-            first = WORDS.search(line).start()
-            units.append((at + first, at + len(line), hashlib.md5(norm, usedforsecurity=False).digest()))
-        at += len(line) + 1
-    return words, units
+
+
+def lines_of(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end, 128-bit digest as two numbers) of the lines of min_words words and more, characters from 0."""
+    a = np.frombuffer(words.raw, np.uint8)
+    ends = np.flatnonzero(a == 10)
+    first = np.searchsorted(words.starts, np.concatenate([[0], ends]))
+    long = np.flatnonzero(np.diff(first) >= min_words)
+    starts, ends = words.starts[first[long]], ends[long]
+    text = np.searchsorted(words.text_at, starts, "right") - 1
+    digests = [hashlib.md5(b" ".join(words.raw[s:e].split()).strip(TRIM), usedforsecurity=False).digest() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    characters = np.concatenate([[0], np.cumsum((a & 0xC0) != 0x80, dtype=np.int32)])
+    of = lambda at: characters[at] - characters[words.text_at[text]]
+    return text, of(starts), of(ends), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
 
 
 def _slide(best: np.ufunc, x: np.ndarray) -> np.ndarray:
@@ -67,47 +62,35 @@ def _slide(best: np.ufunc, x: np.ndarray) -> np.ndarray:
     return best(x[: len(x) - (STEP - width)], x[STEP - width :])
 
 
-def window_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of all windows of WINDOW hashed words, as differences of one running sum."""
-    if len(words) < WINDOW:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(np.full(len(words), FACTOR, np.uint64)))])
-        out = (sums[WINDOW:] - sums[:-WINDOW]) * np.cumprod(np.full(len(words) - WINDOW + 1, INVERSE, np.uint64))
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
-
-
-def anchors_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in words, hash) of the least of each STEP consecutive windows, of equal ones all. words: of texts one after another."""
-    windows = window_hashes(words)
+def anchors_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in words, hash) of the least of each STEP consecutive windows, of equal ones all."""
+    windows = runs(words.hashes, WINDOW)
     if len(windows) < STEP:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), windows[:0]
-    text = np.repeat(np.arange(len(lengths)), lengths)
+    text = np.repeat(np.arange(len(words.first) - 1), words.lengths())
     least = _slide(np.minimum, windows)
     # a group of windows counts only inside one text
     least[text[: len(least)] != text[WINDOW + STEP - 2 :]] = 0
     at = np.flatnonzero(_slide(np.maximum, np.pad(least, STEP - 1)) == windows)
-    return text[at], at - (np.cumsum(lengths) - lengths)[text[at]], windows[at]
+    return text[at], at - words.first[text[at]], windows[at]
 
 
-def segments(found: list[dict]) -> list[tuple[int, int, int, int]]:
-    """(start, end, first_row, first_start) in words: repeated anchors joined where they touch at the same distance from the same row."""
-    out: list[list[int]] = []
-    for r, away, at in sorted((x["first_row"], x["start"] - x["first_start"], x["start"]) for x in found):
-        if out and out[-1][2] == r and out[-1][0] - out[-1][3] == away and at <= out[-1][1]:
-            out[-1][1] = at + WINDOW
-        else:
-            out.append([at, at + WINDOW, r, at - away])
-    return [tuple(x) for x in out]
+def segments(row: np.ndarray, start: np.ndarray, first_row: np.ndarray, first_start: np.ndarray) -> list[np.ndarray]:
+    """row, start, end, first_row, first_start in words: a row's repeated anchors joined where they touch at the same distance from the same row."""
+    away = start - first_start
+    order = np.lexsort((start, away, first_row, row))
+    row, start, first_row, away = row[order], start[order], first_row[order], away[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (first_row[1:] != first_row[:-1]) | (away[1:] != away[:-1]) | (start[1:] > start[:-1] + WINDOW)
+    begin = np.flatnonzero(new)
+    end = start[np.append(begin[1:], len(row))[: len(begin)] - 1] + WINDOW
+    return [row[begin], start[begin], end, first_row[begin], start[begin] - away[begin]]
 
 
-def agree(a: np.ndarray, b: np.ndarray) -> int:
-    """How many of the first words are the same."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+def agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the first words of each row are the same and in both texts."""
+    same = (a == b) & (a != 0)
+    return np.where(same.all(1), a.shape[1], np.argmin(same, axis=1))
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -136,27 +119,22 @@ def repeated_units(rows: DataFrame, *, min_words: int = PASSAGE) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(WINDOW)
+        hasher = Hasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
-                words, units = zip(*(lines_of(t, min_words) for t in some.column("text").to_pylist()), strict=True)
-                lengths = np.fromiter(map(len, words), np.int64, len(words))
-                text, place, hashes = anchors_of(shingler.hashes(list(chain.from_iterable(words))), lengths)
-                take = np.concatenate([np.repeat(np.arange(len(units)), [len(u) for u in units]), text])
-                units = list(chain.from_iterable(units))
+            for some in slices(batch):
+                words = hasher.column(some.column("text"))
+                of_line, start, end, digest = lines_of(words, min_words)
+                of_anchor, place, hashes = anchors_of(words)
+                take, none = pa.array(np.concatenate([of_line, of_anchor])), np.zeros(len(place), np.int64)
+                columns = [(start, place), (end, none - 1), (digest[:, 0], hashes.view(np.int64)), (digest[:, 1], none)]  # end -1: an anchor, in words
                 yield pa.record_batch(
-                    [some.column(c).take(pa.array(take)) for c in ("row", "id")]
-                    + [pa.array([*(u[0] for u in units), *place.tolist()], pa.int32()), pa.array([u[1] for u in units] + [-1] * len(text), pa.int32()),  # -1: an anchor, in words
-                       pa.array([*(u[2] for u in units), *(x.tobytes() for x in hashes)], pa.binary())],
-                    names=["row", "id", "start", "end", "digest"],
-                )
-
-    units = rows.mapInArrow(run, f"row long, id {kind}, start int, end int, digest binary")
-    groups = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1")
-    stored = materialise(groups.select(F.col("digest").alias("d"), "first.row", "first.start"), "repeated-digests")
-    groups = stored.select("d", F.col("row").alias("first_row"), F.col("start").alias("first_start"))
-    later = units.drop("id").join(groups, units["digest"] == groups["d"]).where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
+                    [some.column("row").take(take), some.column("id").take(take), *(pa.array(np.concatenate(c)) for c in columns)], names=["row", "id", "start", "end", "d1", "d2"]
+                )
+
+    units = rows.mapInArrow(run, f"row long, id {kind}, start long, end long, d1 long, d2 long")
+    groups = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "start")).alias("first")).where("n > 1")
+    stored = materialise(groups.select("d1", "d2", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "repeated-digests")
+    later = units.drop("id").join(stored, ["d1", "d2"]).where((F.col("row") != F.col("first_row")) | (F.col("start") != F.col("first_start")))
     later = materialise(later.select("row", "start", "end", "first_row", "first_start"), "repeated-units")
     discard(stored)
     # of anchors that overlap their own first occurrence that one stays
@@ -174,8 +152,11 @@ def passages(rows: DataFrame, anchors: DataFrame) -> DataFrame:
 
     def join_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(r, *x) for r, found in zip(batch.column("row").to_pylist(), batch.column("found").to_pylist(), strict=True) for x in segments(found)]
-            yield pa.record_batch([pa.array([m[j] for m in made], pa.int64()) for j in range(5)], names=["row", "start", "end", "first_row", "first_start"])
+            found = batch.column("found")
+            flat = found.flatten()
+            row = np.repeat(batch.column("row").to_numpy(), pa.compute.list_value_length(found).to_numpy(zero_copy_only=False))
+            made = segments(row, *(flat.field(c).to_numpy() for c in ("start", "first_row", "first_start")))
+            yield pa.record_batch([pa.array(m) for m in made], names=["row", "start", "end", "first_row", "first_start"])
 
     by_row = anchors.groupBy("row").agg(F.collect_list(F.struct("start", "first_row", "first_start")).alias("found"))
     found = by_row.mapInArrow(join_anchors, "row long, start long, end long, first_row long, first_start long")
@@ -186,15 +167,25 @@ def passages(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     asked = asked.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("asked")).withColumnRenamed("row", "r")
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(WINDOW)
+        hasher = Hasher()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, made = batch.slice(at, 256), []
-                for r, text, wanted in zip(*(some.column(c).to_pylist() for c in ("row", "text", "asked")), strict=True):
-                    h = shingler.words(text)
-                    made += [(r, x["start"], x["end"], h[max(0, x["start"] - STEP) : x["start"]][::-1].tobytes(), h[x["end"] : x["end"] + STEP].tobytes()) for x in wanted]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.record_batch([pa.array([m[j] for m in made], k) for j, k in enumerate(kinds)], names=["r", "s", "e", "before", "after"])
+            for some in slices(batch):
+                words, asked = hasher.column(some.column("text")), some.column("asked")
+                n = pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False)
+                text, flat = np.repeat(np.arange(some.num_rows), n), asked.flatten()
+                start, end = (flat.field(c).to_numpy() for c in ("start", "end"))
+                # the words on both sides, outwards; 0 beyond the text
+                away = np.arange(STEP)
+                before, after = (start - 1)[:, None] - away, end[:, None] + away
+                sides = []
+                for place in (before, after):
+                    inside = (place >= 0) & (place < words.lengths()[text][:, None])
+                    h = words.hashes[np.where(inside, place + words.first[text][:, None], 0)].astype("<u4")
+                    sides.append(np.where(inside, np.maximum(h, 1), 0).astype("<u4"))
+                as_binary = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (4 * STEP)), pa.py_buffer(x.tobytes())])
+                yield pa.record_batch(
+                    [some.column("row").take(pa.array(text)), pa.array(start), pa.array(end), *map(as_binary, sides)], names=["r", "s", "e", "before", "after"]
+                )
 
     sides = rows.join(asked, F.col("row") == F.col("r")).select("row", "text", "asked").mapInArrow(beside, "r long, s long, e long, before binary, after binary")
     sides = materialise(sides, "repeated-sides")
@@ -204,23 +195,18 @@ def passages(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     pairs = pairs.select("row", "start", "end", "first_row", "first_end", "before", "after", "first_before", "first_after")
 
     def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("row", "start", "end", "first_row", "first_end", "before", "after", "first_before", "first_after")
         for batch in batches:
-            made = []
-            for row, start, end, first_row, first_end, *four in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                before, after, first_before, first_after = (np.frombuffer(x, np.uint64) for x in four)
-                back = agree(before, first_before)
-                if row == first_row:  # not into the first occurrence
-                    back = min(back, max(0, start - first_end))
-                s, e = start - back, end + agree(after, first_after)
-                if e - s >= PASSAGE:
-                    made.append((row, s, e))
+            row, start, end, first_row, first_end = (batch.column(c).to_numpy() for c in ("row", "start", "end", "first_row", "first_end"))
+            four = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, STEP) for c in ("before", "after", "first_before", "first_after")]
+            back, ahead = agree(four[0], four[2]), agree(four[1], four[3])
+            # not into the first occurrence
+            back = np.where(row == first_row, np.minimum(back, np.maximum(0, start - first_end)), back)
+            long = np.flatnonzero(end + ahead - start + back >= PASSAGE)
             yield pa.record_batch(
-                [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()), pa.array([True] * len(made), pa.bool_())],
-                names=["row", "start", "end", "by_word"],
+                [pa.array(row[long]), pa.array((start - back)[long]), pa.array((end + ahead)[long]), pa.array(np.ones(len(long), bool))], names=["row", "start", "end", "by_word"]
             )
 
-    out = materialise(pairs.mapInArrow(lengthen, "row long, start int, end int, by_word boolean"), "repeated-passages")
+    out = materialise(pairs.mapInArrow(lengthen, "row long, start long, end long, by_word boolean"), "repeated-passages")
     discard(found, sides)
     return out
 
