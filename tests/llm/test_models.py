@@ -69,9 +69,11 @@ def brute_kn(texts):
     def discounts(c):
         n = [sum(1 for v in c.values() if v == k) for k in range(5)]
         if not all(n[1:]):
-            return [0.5, 0.75, 0.9]
+            return [0.5, 1.0, 1.5]
         y = n[1] / (n[1] + 2 * n[2])
-        return [min(0.95, max(0.05, k - (k + 1) * y * n[k + 1] / n[k])) for k in (1, 2, 3)]
+        found = 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]
+        assert all(0 < d < k for k, d in enumerate(found, 1)) and found[2] > 1
+        return found
 
     tables = []
     for c in (one, two, three):
