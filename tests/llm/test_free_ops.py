@@ -39,14 +39,16 @@ def brute_components(rows, k, percent):
         for a in range(len(ids)):
             for b in range(a):
                 shared[ids[b], ids[a]] += 1
+    links = Counter()
     for (a, b), n in shared.items():
         if n * 100 >= percent * (len(sets[a]) + len(sets[b]) - n):
             parent[root(a)] = root(b)
+            links.update((a, b))
     name = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             name[root(i)] = min(name.get(root(i), d), d)
-    return Counter((d, len(sets[i]), name.get(root(i))) for i, (d, _) in enumerate(rows))
+    return Counter((d, len(sets[i]), name.get(root(i)), links[i]) for i, (d, _) in enumerate(rows))
 
 
 @pytest.mark.parametrize("table", ["edge", "unique", "corpus", "empty"])
@@ -60,7 +62,8 @@ def test_jaccard_large_families(spark, monkeypatch):
     """Families of several chunks, with members that only some others match."""
     from tripleloom.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "CHUNK", 1500)
+    for name, value in (("CHUNK", 1500), ("TILE", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -74,6 +77,36 @@ def test_jaccard_large_families(spark, monkeypatch):
         assert Counter(map(tuple, jaccard_components(docs, percent=percent).collect())) == brute_components(rows, 4, percent)
 
 
+def test_jaccard_many_short_texts(spark, monkeypatch):
+    """A family of many small sets splits by nodes; ids are strings."""
+    from tripleloom.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "NODES", 40)
+    rng = np.random.default_rng(5)
+    rows = [(f"d{i:03}", " ".join(["a b c d e f g h i j k l", *(f"y{rng.integers(0, 4)}" for _ in range(rng.integers(0, 4)))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert Counter(map(tuple, jaccard_components(docs, percent=75).collect())) == brute_components(rows, 4, 75)
+
+
+def test_prefixes_adapt(spark):
+    """Sets of shingles that many others have take longer prefixes; sets of rare ones the shortest."""
+    from tripleloom.llm import ngram_join
+
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        t = [f"z{rng.integers(0, 10**9)}" for _ in range(300)] if i % 2 else list(base)
+        if i % 2 == 0:
+            t[rng.integers(0, 300)] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    classes = ngram_join.count_classes(spark.createDataFrame(rows, "doc_id long, text string").select("text"), 4)
+    hasher = ngram_join.Hasher()
+    chosen = [ngram_join.choose(ngram_join.in_order(s, classes), classes, 85)[0] for s in ngram_join.sets_of(hasher.words([t.encode() for _, t in rows]), 4)]
+    shortest = 1 + 297 // 50
+    assert all(c == shortest for c in chosen[1::2]) and sum(c > shortest for c in chosen[::2]) > 250
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
