@@ -35,6 +35,24 @@ def test_base_score(table, bits, request, monkeypatch):
             assert sum(r.score for r in got if r.held_out == flag) > sum(r.base_score for r in got if r.held_out == flag)
 
 
+def test_score_does_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    """The same scores from 1 and 64 partitions; held-out text scores above word frequencies, also with several shards a round."""
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    scores = []
+    for n, shard in ((1, lm_score.SHARD), (64, lm_score.SHARD), (16, 15_000)):
+        monkeypatch.setattr(lm_score, "SHARD", shard)
+        monkeypatch.setattr(lm_score, "SHARD_UNITS", 0)
+        got = score_documents(docs.repartition(n)).collect()
+        assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+        scores.append({r.doc_id: r.score for r in got})
+    assert scores[0] == pytest.approx(scores[1], abs=1e-4)
+
+
+def test_units_grow():
+    assert [lm_score.n_units(n) for n in (0, 10**6, 10**8)] == [2048, 2048, 53**2 - 256]
+    assert lm_score.n_units(10**10) > 24_000 and lm_score.n_units(10**12) > 9 * lm_score.n_units(10**10)
+
+
 def test_score_is_normalised():
     model = lm_score.Model(np.arange(1, lm_score.UNITS + lm_score.GROUPS + 1, dtype=float))
     rng = np.random.default_rng(0)

@@ -1,22 +1,27 @@
 """Operator 1, LM scoring: a log-bilinear model trained in numpy with noise-contrastive estimation.
 
 Word counts of all training documents are exact, summed by shuffle. The most frequent words are output units of their
-own, all others fall into units by their last bytes and share a unit's probability by count; units are dealt to classes.
-The context vector of a token is the sum of the preceding tokens' vectors, each weighted by position; a class is scored
-against it, then a unit inside its class. Training sees every training token once: each task runs the contrastive
-updates over its documents, and the tasks' parameters are averaged by tokens. Scoring normalises over the classes
-and over the class's units with batched matrix products.
+own, all others fall into units by their last bytes and share a unit's probability by count. Units grow with the square root
+of the training tokens and are dealt to as many classes as a class has units. The context vector of a token is the sum of
+the preceding tokens' vectors, each weighted by position; a class is scored against it, then a unit inside its class.
+Scoring normalises over the classes and over the class's units with batched matrix products.
+
+Training sees every training token once, in ROUNDS rounds. Documents fall into rounds and shards by hash; in a round each
+shard runs the contrastive updates over its documents from common parameters, and the shards' parameters are averaged by
+tokens. A shard has about SHARD tokens in a round, so their number grows with the corpus, and a small corpus is one
+shard. Rows, not partitions, decide what happens: the result doesn't depend on how the input is split.
 
 Counts of the most frequent words (at most 2**20) go to every task as hashes and counts, 16 MB at most; other words' counts
-are joined by shuffle, so every count is exact.
+are joined by shuffle, so every count is exact. Words meet that table, and their units, by 64-bit hash.
 
 Defined cases: a null text is empty (its end token remains). A null id counts as the empty string for the split. Repeated
-rows and tied ids give a row each. Other columns are ignored. No training document: every count is 0 and the model is the
-uniform one over one unknown type. Empty in, empty out.
+rows and tied ids give a row each. A text of more than PIECE tokens is trained on in pieces. Other columns are ignored. No
+training document: every count is 0 and the model is the uniform one over one unknown type. Empty in, empty out.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Output units: words of their own, groups of the other words; they make CLASSES classes of equal length.
-UNITS, GROUPS, CLASSES = 2048, 256, 48
-PER_CLASS = (UNITS + GROUPS) // CLASSES
+#: Least output units that are words of their own, and groups of the other words: together a square, the number of classes.
+UNITS, GROUPS = 2048, 256
+#: Rounds of training, tokens of a shard in a round, or so many for each unit if that is more, tokens of a piece, parts of the parameters' sums.
+ROUNDS, SHARD, SHARD_UNITS, PIECE, PARTS = 8, 1 << 19, 128, 1 << 16, 32
 #: Vector length, context tokens, shared noise samples, tokens in a step, learning rate.
 DIM, CONTEXT, NOISE, STEP, RATE = 16, 4, 16, 2048, 0.15
 HEAD_BITS, PARTIAL_WORDS, KEPT_WORDS = 20, 200_000, 300_000
@@ -46,23 +52,32 @@ END = b"\n"
 class Vocabulary(NamedTuple):
     hashes: np.ndarray  # of the most frequent words, sorted
     counts: np.ndarray
-    units: dict[bytes, int]  # word -> unit
-    n_unit: np.ndarray  # training tokens of each unit
+    unit_hashes: np.ndarray  # of the words that are units, sorted
+    units: np.ndarray  # their units
+    n_unit: np.ndarray  # training tokens of each unit, the groups last
     types: np.ndarray  # distinct training words of each unit
     total: int
     distinct: int
 
 
+def n_units(total: int) -> int:
+    """Words that are units: a fourth of the square root of the training tokens, so that with the groups they fill a square."""
+    side = math.isqrt(max(UNITS, math.isqrt(total) // 4) + GROUPS - 1) + 1
+    return side * side - GROUPS
+
+
 def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def group_of(word: bytes) -> int:
-    return UNITS + zlib.crc32(word[-2:]) % GROUPS
+def hash_of(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """word (binary), c: exact counts over the texts, each followed by one end."""
+    """word (binary), c: exact counts over the texts, each followed by one end; the word's hash h and group g."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Counter = Counter()
@@ -80,7 +95,13 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ws = batch.column("word").to_pylist()
+            yield pa.record_batch([*batch.columns, pa.array(map(hash_of, ws), pa.int64()), pa.array((zlib.crc32(w[-2:]) % GROUPS for w in ws), pa.int32())], names=["word", "c", "h", "g"])
+
+    counts = texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return counts.mapInArrow(hashed, "word binary, c long, h long, g int")
 
 
 def read_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -94,57 +115,61 @@ def read_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
             break
         least, room = b, room - bins[b][0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            hashes = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([pa.array(hashes, pa.int64()), batch.column("c")], names=["h", "c"])
-
-    head = counts.where(bin_ >= least)
-    table = head.mapInArrow(run, "h long, c long").toArrow()
+    table = counts.where(bin_ >= least).select("h", "c").toArrow()
     h, c = table.column("h").to_numpy(), table.column("c").to_numpy()
     order = np.argsort(h)
-    top = counts.where(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(UNITS).collect()
-    units = {bytes(r["word"]): i for i, r in enumerate(top)}
-    n_unit, types = np.zeros(UNITS + GROUPS), np.zeros(UNITS + GROUPS)
-    for i, r in enumerate(top):
-        n_unit[i], types[i] = r["c"], 1
-    group = (F.crc32(F.expr("substring(word, -2, 2)")) % GROUPS).cast("int")
-    for r in counts.groupBy(group.alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        n_unit[UNITS + r["g"]], types[UNITS + r["g"]] = r["c"], r["n"]
-    for w, i in units.items():
-        n_unit[group_of(w)] -= n_unit[i]
-        types[group_of(w)] -= 1
-    return Vocabulary(h[order], c[order], units, n_unit, types, total, distinct), least
+    own = n_units(total)
+    top = counts.select("h", "c", "g").orderBy(F.desc("c"), "h").limit(own).toArrow()
+    n_unit, types = np.zeros(own + GROUPS), np.zeros(own + GROUPS)
+    groups = counts.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()  # at most GROUPS rows
+    g = own + groups.column("g").to_numpy()
+    n_unit[g], types[g] = groups.column("c").to_numpy(), groups.column("n").to_numpy()
+    top_h, top_c, top_g = (top.column(x).to_numpy() for x in ("h", "c", "g"))
+    n_unit[: len(top_c)], types[: len(top_c)] = top_c, 1
+    np.subtract.at(n_unit, own + top_g, top_c)
+    np.subtract.at(types, own + top_g, 1)
+    units = np.argsort(top_h)
+    return Vocabulary(h[order], c[order], top_h[units], units, n_unit, types, total, distinct), least
 
 
 class Model:
-    """Parameters: word vectors R, position weights D, class and unit vectors and biases. Unit u stands at slot `slot[u]`, class slot // PER_CLASS."""
+    """Parameters: word vectors R, position weights D, class and unit vectors and biases. Unit u stands at slot `slot[u]`, class slot // size."""
 
-    def __init__(self, n_unit: np.ndarray) -> None:
+    def __init__(self, n_unit: np.ndarray, state: np.ndarray | None = None, seed: tuple[int, ...] = ()) -> None:
+        self.size = size = math.isqrt(len(n_unit))  # classes, and units of a class
+        self.narrow = np.uint16 if len(n_unit) <= 1 << 16 else np.int64  # sorts faster
         order = np.argsort(-n_unit, kind="stable")
         self.slot = np.empty(len(n_unit), np.int64)
         self.slot[order] = np.arange(len(n_unit))
-        mass = (n_unit[order] + 1).reshape(CLASSES, PER_CLASS)
+        mass = (n_unit[order] + 1).reshape(size, size)
         self.p_class = mass.sum(1) / mass.sum()
         self.p_unit = mass / mass.sum(1, keepdims=True)
-        self.cum_unit = (np.cumsum(self.p_unit, 1) + np.arange(CLASSES)[:, None]).ravel()  # class g's from g to g + 1
+        self.cum_unit = (np.cumsum(self.p_unit, 1) + np.arange(size)[:, None]).ravel()  # class g's from g to g + 1
         self.shift_class, self.shift_unit = (np.log(NOISE * x).astype(np.float32) for x in (self.p_class, self.p_unit))
         rng = np.random.default_rng(11)
         f = np.float32
         self.params = {
             "R": rng.normal(0, 0.1, (len(n_unit), DIM)).astype(f), "D": np.repeat(f(1.0) / (1 + np.arange(CONTEXT, dtype=f)), DIM).reshape(CONTEXT, DIM),
-            "C": np.zeros((CLASSES, DIM), f), "c": np.log(self.p_class).astype(f), "U": np.zeros((CLASSES, PER_CLASS, DIM), f), "u": np.log(self.p_unit).astype(f),
+            "C": np.zeros((size, DIM), f), "c": np.log(self.p_class).astype(f), "U": np.zeros((size, size, DIM), f), "u": np.log(self.p_unit).astype(f),
         }
         self.params["C"] += rng.normal(0, 0.05, self.params["C"].shape).astype(f)
         self.params["U"] += rng.normal(0, 0.05, self.params["U"].shape).astype(f)
         self.seen = {k: np.full(v.shape, 1e-2, f) for k, v in self.params.items()}
-        self.rng = rng
+        if state is not None:
+            at = 0
+            for part in (self.params, self.seen):
+                for k, v in part.items():
+                    part[k] = state[at : at + v.size].reshape(v.shape).astype(f)
+                    at += v.size
+        self.rng = np.random.default_rng((11, *seed))
         # large temporaries stay: fresh pages would cost more than the arithmetic
         self.grads, self.work = ({k: np.zeros_like(v) for k, v in self.params.items() if k != "R"} for _ in range(2))
         self.noise, self.away = (np.empty((STEP, n), f) for n in (NOISE, DIM))
-        self.scores = np.empty((BLOCK, max(CLASSES, PER_CLASS)), f)
+        self.scores = np.empty((BLOCK, size), f)
+
+    def state(self) -> np.ndarray:
+        """All that training changes, in one row."""
+        return np.concatenate([v.ravel() for part in (self.params, self.seen) for v in part.values()])
 
     def contexts(self, slots: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Context vectors of the tokens, their vectors, and for each distance which tokens have none so far back in their text (start: place in the text)."""
@@ -164,15 +189,15 @@ class Model:
         for at in range(0, len(slots), BLOCK):
             some, before = slots[at : at + BLOCK], max(0, at - CONTEXT)
             q = self.contexts(slots[before : at + BLOCK], start[before : at + BLOCK])[0][at - before :]
-            order = np.argsort(some.astype(np.int16), kind="stable")
-            by_class, (k, inside) = q.take(order, 0), np.divmod(some[order], PER_CLASS)
+            order = np.argsort(some.astype(self.narrow), kind="stable")
+            by_class, (k, inside) = q.take(order, 0), np.divmod(some[order], self.size)
             each = np.arange(len(k))
-            s = _times(by_class, self.params["C"].T, self.scores[: len(k), :CLASSES])
+            s = _times(by_class, self.params["C"].T, self.scores[: len(k)])
             s += self.params["c"]
             found = s[each, k]
             found -= _log_sum(s)
-            s = self.scores[: len(k), :PER_CLASS]
-            for g, rows in _classes(k):
+            s = self.scores[: len(k)]
+            for g, rows in _classes(k, self.size):
                 _times(by_class[rows], self.params["U"][g].T, s[rows])
                 s[rows] += self.params["u"][g]
             found += s[each, inside]
@@ -184,16 +209,16 @@ class Model:
         p = self.params
         q_of, e, lacks = self.contexts(slots, start)
         # sorted by unit the tokens are sorted by class too, and sums by either are sums of runs
-        order = np.argsort(slots.astype(np.int16), kind="stable")
+        order = np.argsort(slots.astype(self.narrow), kind="stable")
         sorted_, q = slots[order], q_of.take(order, 0)
-        k = sorted_ // PER_CLASS
+        k, n_classes = sorted_ // self.size, self.size
         first, first_k = _runs(sorted_), _runs(k)
         seen, seen_k = sorted_[first], k[first_k]
         grads, noise, away = self.grads, self.noise[: len(q)], self.away[: len(q)]
         for g in grads.values():
             g.fill(0)
 
-        drawn = np.minimum((self.rng.random(NOISE)[:, None] >= np.cumsum(self.p_class)).sum(1), CLASSES - 1)
+        drawn = np.minimum((self.rng.random(NOISE)[:, None] >= np.cumsum(self.p_class)).sum(1), n_classes - 1)
         dq, grads["C"][seen_k], grads["c"][seen_k] = _pull(q, p["C"].take(k, 0), (p["c"] - self.shift_class)[k], first_k)
         v = p["C"][drawn]
         fake = _fake(_times(q, v.T, noise), (p["c"] - self.shift_class)[drawn])
@@ -205,22 +230,22 @@ class Model:
         shifted, to_bias = (p["u"] - self.shift_unit).ravel(), grads["u"].ravel()
         back, to_unit[seen], to_bias[seen] = _pull(q, unit.take(sorted_, 0), shifted[sorted_], first)
         dq += back
-        of_class = np.arange(CLASSES)[:, None]
-        drawn = np.searchsorted(self.cum_unit, (self.rng.random((CLASSES, NOISE)) + of_class).ravel(), side="right").reshape(CLASSES, NOISE)
-        drawn = np.clip(drawn, PER_CLASS * of_class, PER_CLASS * (of_class + 1) - 1)
-        v, classes = unit.take(drawn, 0), _classes(k)
+        of_class = np.arange(n_classes)[:, None]
+        drawn = np.searchsorted(self.cum_unit, (self.rng.random((n_classes, NOISE)) + of_class).ravel(), side="right").reshape(n_classes, NOISE)
+        drawn = np.clip(drawn, n_classes * of_class, n_classes * (of_class + 1) - 1)
+        v, classes = unit.take(drawn, 0), _classes(k, n_classes)
         turned = np.ascontiguousarray(v.transpose(0, 2, 1))
         for g, rows in classes:
             np.dot(q[rows], turned[g], out=noise[rows])
         fake = _fake(noise, shifted[drawn].take(k, 0))
-        of_v, of_b = np.zeros((CLASSES, NOISE, DIM), np.float32), np.zeros((CLASSES, NOISE), np.float32)
+        of_v, of_b = np.zeros((n_classes, NOISE, DIM), np.float32), np.zeros((n_classes, NOISE), np.float32)
         for g, rows in classes:
             some = fake[rows]
             np.dot(some, v[g], out=away[rows])
             np.dot(some.T, q[rows], out=of_v[g])
         of_b[seen_k] = np.add.reduceat(fake, first_k)
         dq += away
-        by_unit = np.argsort(drawn.ravel().astype(np.int16), kind="stable")
+        by_unit = np.argsort(drawn.ravel().astype(self.narrow), kind="stable")
         drawn = drawn.ravel()[by_unit]
         runs = _runs(drawn)
         to_unit[drawn[runs]] += np.add.reduceat(of_v.reshape(-1, DIM).take(by_unit, 0), runs)
@@ -253,10 +278,10 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
 
 
-def _classes(k: np.ndarray) -> list[tuple[int, slice]]:
+def _classes(k: np.ndarray, n: int) -> list[tuple[int, slice]]:
     """The classes in sorted k and their rows."""
-    edges = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
-    return [(g, slice(edges[g], edges[g + 1])) for g in range(CLASSES) if edges[g] < edges[g + 1]]
+    edges = np.searchsorted(k, np.arange(n + 1)).tolist()
+    return [(g, slice(edges[g], edges[g + 1])) for g in range(n) if edges[g] < edges[g + 1]]
 
 
 def _times(q: np.ndarray, m: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -291,13 +316,17 @@ def _fake(s: np.ndarray, shifted: np.ndarray) -> np.ndarray:
     return np.divide(-1, s, out=s)
 
 
+def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each h in sorted known, -1 without one."""
+    at = np.searchsorted(known, h)
+    return np.where(known[np.minimum(at, len(known) - 1)] == h, at, -1) if len(known) else np.full(len(h), -1)
+
+
 class Reader:
     """Words as tokens: for each its unit, and its place among the most frequent words (-1: not there). Words are kept between calls."""
 
     def __init__(self, v: Vocabulary, slot: np.ndarray) -> None:
-        import xxhash
-
-        self.v, self.slot, self.hash = v, slot, xxhash.xxh3_64_intdigest
+        self.v, self.slot = v, slot
         self.kept: dict[bytes, int] = {}
 
     def codes(self, ws: list[bytes]) -> np.ndarray:
@@ -308,13 +337,11 @@ class Reader:
         missing = np.flatnonzero(out < 0).tolist()
         if missing:
             found = [ws[i] for i in missing]
-            new, of, crc, known = list(set(found)), self.hash, zlib.crc32, self.v.hashes
-            h = np.array([of(w) - (1 << 63) for w in new], np.int64)
-            at = np.searchsorted(known, h)
-            place = np.where(known[np.minimum(at, len(known) - 1)] == h, at, -1) if len(known) else np.full(len(new), -1)
-            unit = np.fromiter(map(self.v.units.get, new, repeat(-1)), np.int64, len(new))
-            group = UNITS + np.array([crc(w[-2:]) for w in new], np.int64) % GROUPS
-            codes = (place + 1) * (UNITS + GROUPS) + self.slot[np.where(unit < 0, group, unit)]
+            new, n = list(set(found)), len(self.slot)
+            h = np.array([hash_of(w) for w in new], np.int64)
+            place, unit = _find(self.v.hashes, h), _find(self.v.unit_hashes, h)
+            group = n - GROUPS + np.array([zlib.crc32(w[-2:]) for w in new], np.int64) % GROUPS
+            codes = (place + 1) * n + self.slot[np.where(unit < 0, group, self.v.units[unit] if len(self.v.units) else group)]
             self.kept.update(zip(new, codes.tolist(), strict=True))
             out[missing] = [self.kept[w] for w in found]
         return out
@@ -334,37 +361,62 @@ def _token_batches(batches: Iterator[pa.RecordBatch], reader: Reader, least: int
                 first, got, size = i + 1, [], 0
 
 
-def train(texts: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Parameters averaged over tasks, each weighted by its tokens."""
+def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
+    """The trained state of the model of texts(h: what tells rows apart, text)."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(tuple(v))  # at most 2**HEAD_BITS hashes and counts
-    names = list(Model(v.n_unit).params)
+    shared = spark.sparkContext.broadcast(tuple(v))  # at most 2**HEAD_BITS hashes and counts, and the units
+    n_slots = len(v.n_unit)
+    n_shards = max(1, round(v.total / (ROUNDS * max(SHARD, SHARD_UNITS * n_slots))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(*shared.value)
         model = Model(v.n_unit)
-        reader, n = Reader(v, model.slot), 0
-        for _, _, codes, start in _token_batches(batches, reader, 16 * STEP):
-            slots = codes % (UNITS + GROUPS)
-            n += len(slots)
+        reader = Reader(v, model.slot)
+        for some, words, codes, _ in _token_batches(batches, reader, 16 * STEP):
+            slots, made, at = (codes % n_slots).astype("<u4"), [], 0
+            for h, n in zip(some.column("h").to_pylist(), map(len, words), strict=True):
+                made += [(h, i, slots[at + i : at + min(n, i + PIECE)].astype(model.narrow).tobytes()) for i in range(0, n, PIECE)]
+                at += n
+            yield pa.record_batch([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], names=["h", "piece", "slots"])
+
+    tokens = texts.mapInArrow(run, "h long, piece long, slots binary")
+    tokens = tokens.withColumn("round", F.pmod("h", F.lit(ROUNDS)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards)).cast("int"))
+    # sorted, so that a round reads its pages alone
+    tokens = materialise(tokens.sortWithinPartitions("round"), "lm-tokens")
+    names, kinds = ["part", "shard", "sum", "n"], "part int, shard int, sum binary, n long"
+
+    def learner(i: int, common):
+        def learn(rows: pa.Table) -> pa.Table:
+            v = Vocabulary(*shared.value)
+            shard = rows.column("shard")[0].as_py()
+            model = Model(v.n_unit, common.value, (i, shard))
+            rows = rows.sort_by([("h", "ascending"), ("piece", "ascending")])
+            texts = [np.frombuffer(x.as_buffer(), model.narrow).astype(np.int64) for x in rows.column("slots")]
+            slots, start = np.concatenate(texts), np.concatenate([np.arange(len(t)) for t in texts])
             for at in range(0, len(slots), STEP):
                 model.step(slots[at : at + STEP], start[at : at + STEP])
-        if n:
-            flat = [(model.params[k].astype(np.float64) * n).tobytes() for k in names]
-            yield pa.record_batch([pa.array(names), pa.array(flat, pa.binary()), pa.array([n] * len(names), pa.int64())], names=["name", "sum", "n"])
+            parts = [p.tobytes() for p in np.array_split(model.state().astype(np.float64) * len(slots), PARTS)]
+            return pa.table([pa.array(range(PARTS), pa.int32()), pa.array([shard] * PARTS, pa.int32()), pa.array(parts, pa.binary()), pa.array([len(slots)] * PARTS, pa.int64())], names=names)
+
+        return learn
 
     def total(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
         out = sum(np.frombuffer(x.as_buffer(), np.float64) for x in rows.column("sum"))
-        return pa.table([rows.column("name").slice(0, 1), pa.array([out.tobytes()], pa.binary()), pa.array([sum(rows.column("n").to_pylist())], pa.int64())], names=["name", "sum", "n"])
-
-    kinds = "name string, sum binary, n long"
-    parts = texts.mapInArrow(run, kinds)
-    # sums of 32 groups first, so that no task reads the parameters of all
-    parts = parts.withColumn("group", F.spark_partition_id() % 32).groupBy("name", "group").applyInArrow(total, kinds).groupBy("name").applyInArrow(total, kinds)
-    params = Model(v.n_unit).params
-    for r in parts.collect():  # six rows
-        params[r["name"]] = (np.frombuffer(r["sum"], np.float64) / r["n"]).reshape(params[r["name"]].shape).astype(np.float32)
-    return params
+        return pa.table([rows.column("part").slice(0, 1), rows.column("shard").slice(0, 1), pa.array([out.tobytes()], pa.binary()), pa.array([sum(rows.column("n").to_pylist())], pa.int64())], names=names)
+
+    state = Model(v.n_unit).state()
+    for i in range(ROUNDS):
+        common = spark.sparkContext.broadcast(state)  # of the model's own size
+        sums = tokens.where(F.col("round") == i).select("shard", "h", "piece", "slots").groupBy("shard").applyInArrow(learner(i, common), kinds)
+        # sums of 32 groups first, so that no task reads the parameters of all shards
+        sums = sums.groupBy("part", F.expr("shard % 32")).applyInArrow(total, kinds).groupBy("part").applyInArrow(total, kinds)
+        found = sorted(sums.collect(), key=lambda r: r["part"])  # PARTS rows, together of the model's own size
+        if found:  # else no document fell into the round
+            state = (np.concatenate([np.frombuffer(r["sum"], np.float64) for r in found]) / found[0]["n"]).astype(np.float32)
+        common.unpersist()
+    discard(tokens)
+    return state
 
 
 def score_documents(
@@ -374,23 +426,21 @@ def score_documents(
     spark = docs.sparkSession
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.pmod(key, F.lit(folds)) == held_fold).alias("held_out"))
-    texts = rows.where("not held_out").select("text")
-    counts = materialise(count_words(texts), "lm-counts")
+    texts = rows.where("not held_out").select(F.xxhash64(F.col("id").cast("string"), "text").alias("h"), "text")
+    counts = materialise(count_words(texts.select("text")), "lm-counts")
     v, least = read_vocabulary(counts)
-    params = train(texts, v) if v.total else None
-    shared, weights = spark.sparkContext.broadcast(tuple(v)), spark.sparkContext.broadcast(params)
+    state = train(texts, v) if v.total else None
+    shared, weights = spark.sparkContext.broadcast(tuple(v)), spark.sparkContext.broadcast(state)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v = Vocabulary(*shared.value)
-        model = Model(v.n_unit)
-        if weights.value is not None:
-            model.params = weights.value
+        model, n_slots = Model(v.n_unit, weights.value), len(v.n_unit)
         reader, row = Reader(v, model.slot), TaskContext.get().partitionId() << 40
         # a unit's words share its probability by (c + 1) / (n + types + 1), the last for unknown ones; a single word has it all
-        n_slot, t_slot, single = np.empty(UNITS + GROUPS), np.empty(UNITS + GROUPS), np.zeros(UNITS + GROUPS, bool)
+        n_slot, t_slot, single = np.empty(n_slots), np.empty(n_slots), np.zeros(n_slots, bool)
         n_slot[model.slot], t_slot[model.slot] = v.n_unit, v.types
         single[model.slot[: len(v.units)]] = True
         inner = np.log10(n_slot + t_slot + 1)
@@ -398,7 +448,7 @@ def score_documents(
         log_c = np.log10(np.concatenate([[0], v.counts]) + 1)
         base = np.log10(v.total + v.distinct + 1)
         for some, words, codes, start in _token_batches(batches, reader, 32 * STEP):
-            place, slots = np.divmod(codes, UNITS + GROUPS)
+            place, slots = np.divmod(codes, n_slots)
             doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
             lc = log_c[place]
             alone = single[slots]
@@ -424,7 +474,7 @@ def score_documents(
 
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, model double, tail map<binary, bigint>"
     scored = materialise(rows.mapInArrow(run, schema), "lm-scored")
-    rest = counts.where(F.floor(F.log2("c") * 16).cast("int") < least).withColumnRenamed("word", "k")
+    rest = counts.where(F.floor(F.log2("c") * 16).cast("int") < least).select(F.col("word").alias("k"), "c")
     tail = scored.select("row", F.explode("tail").alias("word", "n")).join(rest, F.col("word") == F.col("k"))
     # both scores lack log10(c + 1) of these words, which alone of their unit's words have none
     tail = tail.groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more")).withColumnRenamed("row", "r")
