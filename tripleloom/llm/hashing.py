@@ -34,13 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most TEXTS rows and about SIZE bytes of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and about SIZE bytes of text."""
     sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
     upto, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
         end = int(np.searchsorted(upto, upto[at] - sizes[at] + SIZE, "right"))
-        end = min(max(end, at + 1), at + TEXTS)
+        end = min(max(end, at + 1), at + rows)
         yield batch.slice(at, end - at)
         at = end
 

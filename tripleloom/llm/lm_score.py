@@ -25,7 +25,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -34,24 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
+from .hashing import LOWER, Hasher, Words, slices
 
-LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Least output units that are words of their own, and groups of the other words: together a square, the number of classes.
 UNITS, GROUPS = 2048, 256
 #: Rounds of training, tokens of a shard in a round, or so many for each unit if that is more, tokens of a piece, parts of the parameters' sums.
 ROUNDS, SHARD, SHARD_UNITS, PIECE, PARTS = 8, 1 << 19, 128, 1 << 16, 32
 #: Vector length, context tokens, shared noise samples, tokens in a step, learning rate.
 DIM, CONTEXT, NOISE, STEP, RATE = 16, 4, 16, 2048, 0.15
-HEAD_BITS, PARTIAL_WORDS, KEPT_WORDS = 20, 200_000, 300_000
+#: Most frequent words in every task's table, slots of the table, words counted before they are passed on.
+HEAD_BITS, SLOT_BITS, PARTIAL_WORDS = 20, 22, 200_000
 #: Tokens scored at once, rows in a matrix product.
 BLOCK, ROWS = 8192, 256
-#: The end token, which no word can be.
-END = b"\n"
+#: The end token, which no word can be, and its hash.
+END, END_HASH = b"\n", 1
 
 
 class Vocabulary(NamedTuple):
     hashes: np.ndarray  # of the most frequent words, sorted
     counts: np.ndarray
+    groups: np.ndarray
     unit_hashes: np.ndarray  # of the words that are units, sorted
     units: np.ndarray  # their units
     n_unit: np.ndarray  # training tokens of each unit, the groups last
@@ -70,12 +71,6 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def hash_of(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """word (binary), c: exact counts over the texts, each followed by one end; the word's hash h and group g."""
 
@@ -96,9 +91,13 @@ def count_words(texts: DataFrame) -> DataFrame:
         yield out()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for batch in batches:
-            ws = batch.column("word").to_pylist()
-            yield pa.record_batch([*batch.columns, pa.array(map(hash_of, ws), pa.int64()), pa.array((zlib.crc32(w[-2:]) % GROUPS for w in ws), pa.int32())], names=["word", "c", "h", "g"])
+            for some in slices(batch, "word", 1 << 14):
+                ws = some.column("word").to_pylist()
+                found, h = hasher.words(ws), np.full(len(ws), END_HASH, np.int64)
+                h[found.lengths() > 0] = found.hashes.view(np.int64)
+                yield pa.record_batch([*some.columns, pa.array(h), pa.array((zlib.crc32(w[-2:]) % GROUPS for w in ws), pa.int32())], names=["word", "c", "h", "g"])
 
     counts = texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return counts.mapInArrow(hashed, "word binary, c long, h long, g int")
@@ -115,9 +114,10 @@ def read_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
             break
         least, room = b, room - bins[b][0]
 
-    table = counts.where(bin_ >= least).select("h", "c").toArrow()
-    h, c = table.column("h").to_numpy(), table.column("c").to_numpy()
+    table = counts.where(bin_ >= least).select("h", "c", "g").toArrow()
+    h, c, g = (table.column(x).to_numpy() for x in ("h", "c", "g"))
     order = np.argsort(h)
+    head = h[order], c[order], g[order]
     own = n_units(total)
     top = counts.select("h", "c", "g").orderBy(F.desc("c"), "h").limit(own).toArrow()
     n_unit, types = np.zeros(own + GROUPS), np.zeros(own + GROUPS)
@@ -129,7 +129,7 @@ def read_vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
     np.subtract.at(n_unit, own + top_g, top_c)
     np.subtract.at(types, own + top_g, 1)
     units = np.argsort(top_h)
-    return Vocabulary(h[order], c[order], top_h[units], units, n_unit, types, total, distinct), least
+    return Vocabulary(*head, top_h[units], units, n_unit, types, total, distinct), least
 
 
 class Model:
@@ -322,43 +322,58 @@ def _find(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(known[np.minimum(at, len(known) - 1)] == h, at, -1) if len(known) else np.full(len(h), -1)
 
 
+class Tokens(NamedTuple):
+    """The tokens of texts one after another, each text's end behind its words."""
+
+    words: Words
+    text: np.ndarray
+    start: np.ndarray  # place in the text
+    place: np.ndarray  # among the most frequent words, -1: not there
+    slots: np.ndarray
+    at: np.ndarray  # each text's first token, and the number of tokens
+
+    def word(self, t: int) -> bytes:
+        i = self.words.first[self.text[t]] + self.start[t]
+        return END if i == self.words.first[self.text[t] + 1] else self.words.raw[self.words.starts[i] : self.words.ends[i]]
+
+
 class Reader:
-    """Words as tokens: for each its unit, and its place among the most frequent words (-1: not there). Words are kept between calls."""
+    """Texts as tokens. A table by the hash's first bits finds nearly all frequent words at once."""
 
     def __init__(self, v: Vocabulary, slot: np.ndarray) -> None:
-        self.v, self.slot = v, slot
-        self.kept: dict[bytes, int] = {}
-
-    def codes(self, ws: list[bytes]) -> np.ndarray:
-        """(place + 1) * units + slot of each word or end."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        out = np.fromiter(map(self.kept.get, ws, repeat(-1)), np.int64, len(ws))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            found = [ws[i] for i in missing]
-            new, n = list(set(found)), len(self.slot)
-            h = np.array([hash_of(w) for w in new], np.int64)
-            place, unit = _find(self.v.hashes, h), _find(self.v.unit_hashes, h)
-            group = n - GROUPS + np.array([zlib.crc32(w[-2:]) for w in new], np.int64) % GROUPS
-            codes = (place + 1) * n + self.slot[np.where(unit < 0, group, self.v.units[unit] if len(self.v.units) else group)]
-            self.kept.update(zip(new, codes.tolist(), strict=True))
-            out[missing] = [self.kept[w] for w in found]
-        return out
-
-
-def _token_batches(batches: Iterator[pa.RecordBatch], reader: Reader, least: int) -> Iterator[tuple]:
-    """Texts put together until they have `least` tokens: record batch, each text's words and end, codes, place of each token in its text."""
-    for batch in batches:
-        first, got, size = 0, [], 0
-        for i, text in enumerate(batch.column("text")):
-            got.append(split_words(text.as_py()))
-            got[-1].append(END)
-            size += len(got[-1])
-            if size >= least or i == batch.num_rows - 1:
-                start = np.concatenate([np.arange(len(x)) for x in got])
-                yield batch.slice(first, len(got)), got, reader.codes(list(chain.from_iterable(got))), start
-                first, got, size = i + 1, [], 0
+        self.v, self.slot, self.hasher, n = v, slot, Hasher(), len(slot)
+        self.table = np.zeros(1 << SLOT_BITS, np.int32)
+        self.table[self._first_bits(v.hashes)] = np.arange(len(v.hashes))
+        self.slot_of = self._slots(v.hashes, n - GROUPS + v.groups)
+        two = [zlib.crc32(bytes(x)) % GROUPS for x in np.ndindex(256, 256)]
+        self.group = n - GROUPS + np.array([*two, *(zlib.crc32(bytes([x])) % GROUPS for x in range(256))])
+
+    def _first_bits(self, h: np.ndarray) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _slots(self, h: np.ndarray, group: np.ndarray) -> np.ndarray:
+        unit = _find(self.v.unit_hashes, h)
+        return self.slot[np.where(unit < 0, group, self.v.units[unit])] if len(self.v.units) else self.slot[group]
+
+    def read(self, texts: pa.Array) -> Tokens:
+        words, known = self.hasher.column(texts), self.v.hashes
+        n = words.lengths() + 1
+        at = np.concatenate([[0], np.cumsum(n)])
+        text = np.repeat(np.arange(len(n)), n)
+        h = np.full(at[-1], END_HASH, np.int64)
+        inside = np.arange(len(words.hashes)) + np.repeat(np.arange(len(n)), n - 1)
+        h[inside] = words.hashes.view(np.int64)
+        place = self.table[self._first_bits(h)] if len(known) else np.zeros(len(h), np.int32)
+        other = np.flatnonzero(known[place] != h) if len(known) else np.arange(len(h))
+        place[other] = _find(known, h[other])
+        slots = self.slot_of[place] if len(known) else np.zeros(len(h), np.int64)
+        rare = np.flatnonzero(place < 0)
+        if len(rare):
+            raw, suffix = np.frombuffer(words.raw, np.uint8).astype(np.int64), np.full(len(h), (1 << 16) + END[0])
+            last = words.ends - 1
+            suffix[inside] = np.where(words.starts == last, (1 << 16) + raw[last], raw[last - 1] * 256 + raw[last])
+            slots[rare] = self._slots(h[rare], self.group[suffix[rare]])
+        return Tokens(words, text, np.arange(len(h)) - at[text], place, slots, at)
 
 
 def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
@@ -372,12 +387,13 @@ def train(texts: DataFrame, v: Vocabulary) -> np.ndarray:
         v = Vocabulary(*shared.value)
         model = Model(v.n_unit)
         reader = Reader(v, model.slot)
-        for some, words, codes, _ in _token_batches(batches, reader, 16 * STEP):
-            slots, made, at = (codes % n_slots).astype("<u4"), [], 0
-            for h, n in zip(some.column("h").to_pylist(), map(len, words), strict=True):
-                made += [(h, i, slots[at + i : at + min(n, i + PIECE)].astype(model.narrow).tobytes()) for i in range(0, n, PIECE)]
-                at += n
-            yield pa.record_batch([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], names=["h", "piece", "slots"])
+        for batch in batches:
+            for some in slices(batch):
+                tokens, made = reader.read(some.column("text")), []
+                slots, at = tokens.slots.astype(model.narrow), tokens.at.tolist()
+                for h, first, end in zip(some.column("h").to_pylist(), at, at[1:], strict=False):
+                    made += [(h, i - first, slots[i : min(end, i + PIECE)].tobytes()) for i in range(first, end, PIECE)]
+                yield pa.record_batch([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.binary())], names=["h", "piece", "slots"])
 
     tokens = texts.mapInArrow(run, "h long, piece long, slots binary")
     tokens = tokens.withColumn("round", F.pmod("h", F.lit(ROUNDS)).cast("int")).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(n_shards)).cast("int"))
@@ -447,30 +463,29 @@ def score_documents(
         own = np.log10(n_slot + 1)  # of a single word beyond the table, whose count the join adds
         log_c = np.log10(np.concatenate([[0], v.counts]) + 1)
         base = np.log10(v.total + v.distinct + 1)
-        for some, words, codes, start in _token_batches(batches, reader, 32 * STEP):
-            place, slots = np.divmod(codes, n_slots)
-            doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-            lc = log_c[place]
-            alone = single[slots]
-            sum_of = lambda x: np.bincount(doc, x, len(words))
-            base_score = sum_of(lc - base)
-            if weights.value is None:
-                score = base_score
-            else:
-                score = sum_of(model.log10(slots, start) + np.where(alone, np.where(place > 0, 0, -own[slots]), lc - inner[slots]))
-            known = sum_of(place > 0).astype(np.int64)
-            tails: list[list] = [[] for _ in words]
-            bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            for t in np.flatnonzero(place == 0).tolist():
-                tails[doc[t]].append(words[doc[t]][t - bounds[doc[t]]])
-            tail = [list(Counter(x).items()) for x in tails]
-            kinds = pa.map_(pa.binary(), pa.int64())
-            yield pa.record_batch(
-                [pa.array(np.arange(row, row + len(words))), some.column("id"), some.column("held_out"), pa.array([len(w) for w in words], pa.int64()),
-                 pa.array(known), pa.array(base_score), pa.array(score), pa.array(tail, kinds)],
-                names=["row", "id", "held_out", "n_tokens", "known", "base", "model", "tail"],
-            )
-            row += len(words)
+        for batch in batches:
+            for some in slices(batch):
+                t = reader.read(some.column("text"))
+                n = some.num_rows
+                lc = log_c[t.place + 1]
+                alone = single[t.slots]
+                sum_of = lambda x, t=t, n=n: np.bincount(t.text, x, n)
+                base_score = sum_of(lc - base)
+                if weights.value is None:
+                    score = base_score
+                else:
+                    score = sum_of(model.log10(t.slots, t.start) + np.where(alone, np.where(t.place >= 0, 0, -own[t.slots]), lc - inner[t.slots]))
+                known = sum_of(t.place >= 0).astype(np.int64)
+                tails: list[Counter] = [Counter() for _ in range(n)]
+                for i in np.flatnonzero(t.place < 0).tolist():
+                    tails[t.text[i]][t.word(i)] += 1
+                kinds = pa.map_(pa.binary(), pa.int64())
+                yield pa.record_batch(
+                    [pa.array(np.arange(row, row + n)), some.column("id"), some.column("held_out"), pa.array(np.diff(t.at)),
+                     pa.array(known), pa.array(base_score), pa.array(score), pa.array([list(x.items()) for x in tails], kinds)],
+                    names=["row", "id", "held_out", "n_tokens", "known", "base", "model", "tail"],
+                )
+                row += n
 
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, model double, tail map<binary, bigint>"
     scored = materialise(rows.mapInArrow(run, schema), "lm-scored")
