@@ -40,8 +40,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts by the tokenizer file; ids of the pieces it splits texts into are kept and used again.
 
-    The split is the byte-level one that the file names. A new piece is merged by the file's own ranks where that is seen to
-    give the tokenizer's ids, else by the tokenizer. Special strings in a text are ordinary text.
+    The split is the byte-level one that the file names. A new piece is merged by the file's own ranks where that is proven
+    to give the tokenizer's ids, else by the tokenizer. Special strings in a text are ordinary text.
     """
 
     PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,21 +67,28 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def _merger(self, conf: dict):
-        """Ids of a piece by the ranks of the file's vocabulary; None if they differ from the tokenizer's on a probe."""
+        """Ids of a piece by the ranks of the file's vocabulary; None unless they are the tokenizer's for every piece.
+
+        Merging the pair of least rank first is the tokenizer's own rule if ids rise along the merges and every token, given
+        alone, comes out whole: then two neighbours that make up a token can only be the pair that its merge names.
+        """
         import tiktoken
 
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         special = {t["content"] for t in conf.get("added_tokens", ())}
-        try:
-            ranks = {bytes(byte[c] for c in t): i for t, i in conf["model"]["vocab"].items() if t not in special}
-            merge = tiktoken.Encoding("ranks", pat_str=self.PIECE, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-            probe = [*(chr(c) * n for c in (32, 97, 228, 233, 8364, 128512) for n in (1, 2, 7)), " thereof", " Überraschungen", "ciónmente", "...!?", "\n\n", "12345", " xqzjk"]
-            if all(list(merge(x.encode())) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe if len(self.split(x)) == 1):
-                return merge
-        except (KeyError, ValueError, AttributeError):
-            pass
-        return None
+        vocabulary = {t: i for t, i in conf["model"]["vocab"].items() if t not in special}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in conf["model"]["merges"]]
+        made = ["".join(m) for m in merges]
+        ids = [vocabulary.get(t, -1) for t in made]
+        whole = self.tokenizer.model.tokenize
+        if (
+            any(set(t) - byte.keys() for t in vocabulary) or sorted([*made, *byte]) != sorted(vocabulary) or ids != sorted(set(ids))
+            or max(vocabulary[c] for c in byte) > ids[0] or any([x.id for x in whole(t)] != [i] for t, i in vocabulary.items())
+        ):
+            return None
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
+        return tiktoken.Encoding("ranks", pat_str=self.PIECE, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -248,10 +255,16 @@ def pack(
         n_full += r["full"]
     plan = make_plan(histogram, window)
 
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    fulls = per_block.groupBy("block").agg(F.sum("full").alias("n")).select(F.col("block").alias("f"), earlier(Window.partitionBy()).alias("full_base"))
-    bases = per_block.select("block", "rem", earlier(Window.partitionBy("rem")).alias("base"))
-    bases = bases.join(fulls, F.col("block") == F.col("f")).select(F.col("block").alias("b"), F.col("rem").alias("r"), "base", "full_base")
+    # blocks are numbered inside the tasks that made them: sums inside each task, then over the tasks
+    part = F.shiftright("block", 24)
+    full = per_block.groupBy("block").agg(F.sum("full").alias("n")).select(F.lit(-1).cast("long").alias("rem"), "block", "n")
+    counts = materialise(per_block.select("rem", "block", "n").unionByName(full).withColumn("part", part), "pack-counts")  # rem -1: full windows
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    tasks = counts.groupBy("rem", "part").agg(F.sum("n").alias("n")).select(F.col("rem").alias("tr"), F.col("part").alias("tp"), before(Window.partitionBy("rem").orderBy("part")).alias("task_base"))
+    bases = counts.withColumn("in_task", before(Window.partitionBy("rem", "part").orderBy("block")))
+    bases = bases.join(tasks, (F.col("rem") == F.col("tr")) & (F.col("part") == F.col("tp"))).select("rem", "block", (F.col("task_base") + F.col("in_task")).alias("base"))
+    fulls = bases.where("rem = -1").select(F.col("block").alias("f"), F.col("base").alias("full_base"))
+    bases = bases.where("rem >= 0").join(fulls, F.col("block") == F.col("f")).select(F.col("block").alias("b"), F.col("rem").alias("r"), "base", "full_base")
     bases = materialise(bases, "pack-bases")
     # the table grows with the input: the same plan at every size
     rows = stored.join(bases.hint("merge"), (F.col("block") == F.col("b")) & (F.col("rem") == F.col("r")))
