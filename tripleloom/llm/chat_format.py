@@ -7,8 +7,9 @@ string gets one after its first character, so that none can stand there; droppin
 `\x` undoes it.
 
 Defined cases: null roles and texts are empty; turns order by turn (null first), then role, then text; repeated rows are
-turns of their own; rows with a null conversation id form one conversation. Other columns are ignored. Empty in, empty
-out. A conversation is one row while it is expanded, as each of its examples must be one anyway.
+turns of their own; every row without a conversation id is a conversation of its own, told apart by `lone`, which is null
+elsewhere. Other columns are ignored. Empty in, empty out. A conversation is one row while it is expanded, as each of its
+examples must be one anyway.
 """
 
 from __future__ import annotations
@@ -33,25 +34,28 @@ def unescape(text: Column) -> Column:
 
 
 def expand_prefixes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per example: conv_id, example (from 0), n_context (turns), text, loss_start, loss_length (characters of text, from 0)."""
+    """One row per example: conv_id, lone, example (from 0), n_context (turns), text, loss_start, loss_length (characters of text, from 0)."""
     one = turns.select(
         F.col(conv_col).alias("conv_id"),
+        F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("lone"),
         F.struct(
             F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
         ).alias("t"),
     )
-    whole = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = one.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     shown = whole.select(
         "conv_id",
+        "lone",
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"), escape(t["text"]).alias("body"))).alias("turns"),
     )
     ends = F.filter(F.transform("turns", lambda t, i: F.when((t["role"] == "assistant") | (i == F.size("turns") - 1), i)), lambda i: i.isNotNull())
-    each = shown.select("conv_id", "turns", F.posexplode(ends).alias("example", "last"))
+    each = shown.select("conv_id", "lone", "turns", F.posexplode(ends).alias("example", "last"))
     context = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("last")), lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    each = each.select("conv_id", "example", "last", F.col("turns")[F.col("last")].alias("t"), context.alias("context"))
+    each = each.select("conv_id", "lone", "example", "last", F.col("turns")[F.col("last")].alias("t"), context.alias("context"))
     start = F.length("context") + F.length("t.head")
     return each.select(
         "conv_id",
+        "lone",
         F.col("example").cast("long").alias("example"),
         F.col("last").cast("long").alias("n_context"),
         F.concat("context", "t.head", "t.body", F.lit(END)).alias("text"),
@@ -61,13 +65,13 @@ def expand_prefixes(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from the examples alone."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, from the examples alone."""
     loss = unescape(F.substring(F.col("text"), (F.col("loss_start") + 1).cast("int"), F.col("loss_length").cast("int")))
     is_last = F.row_number().over(_by_size()) == 1
     each = examples.withColumn("is_last", is_last).select(
-        "conv_id", F.length("text").cast("long").alias("chars"), F.struct("example", loss.alias("loss")).alias("l"), F.when(F.col("is_last"), F.col("text")).alias("all")
+        "conv_id", "lone", F.length("text").cast("long").alias("chars"), F.struct("example", loss.alias("loss")).alias("l"), F.when(F.col("is_last"), F.col("text")).alias("all")
     )
-    conv = each.groupBy("conv_id").agg(
+    conv = each.groupBy("conv_id", "lone").agg(
         F.sum("chars").alias("formatted_chars"), F.max("all").alias("all"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["loss"]), "").alias("loss")
     )
     parts = F.filter(F.split("all", r"<\|turn\|>"), lambda p: p != "")
@@ -89,4 +93,4 @@ def read_back(examples: DataFrame) -> DataFrame:
 def _by_size():
     from pyspark.sql import Window
 
-    return Window.partitionBy("conv_id").orderBy(F.desc("example"))
+    return Window.partitionBy("conv_id", "lone").orderBy(F.desc("example"))
