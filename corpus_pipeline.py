@@ -1,26 +1,41 @@
-"""From raw documents to packed training sequences: each stage works on what the one before kept."""
+"""From raw documents to packed training sequences: each stage works on what the one before kept.
+
+Stages return the columns of their input. Null texts are empty and go with the first stage, as they have too few words.
+Rows that share an id, or have none, are documents of their own throughout; rows that repeat whole leave one. Ties go to
+the smallest id, then the smallest row. Columns of any name pass through; n_chars, if there, is that of the new text.
+Empty in, empty out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm.common import materialise, words
+from tripleloom.llm.common import discard, materialise
 from tripleloom.llm.exact_dedup import survivors
 from tripleloom.llm.mixing import mix_sources
 from tripleloom.llm.ngram_join import jaccard_components
 from tripleloom.llm.packing import pack
 from tripleloom.llm.quality_rules import quality_rules
 
-#: SQL cannot express the packing's token ids; tests/llm holds the stages against brute force.
+#: SQL cannot express the packing's token ids; tests/llm holds each stage and all in a row against brute force.
 ORACLE_SQL = None
+#: Where a word ends and white space follows.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+
+
+def with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    """The columns with a new text, and its length where n_chars tells it."""
+    rows = rows.withColumn("text", text)
+    if "n_chars" in columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType))
+    return rows.select(*columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines leave the texts, rejected documents leave the table."""
     judged = quality_rules(docs, carry=[c for c in docs.columns if c != "text"]).where("kept")
-    rows = judged.withColumn("text", F.col("cleaned_text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return with_text(judged, F.col("cleaned_text"), docs.columns)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,22 +51,23 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = materialise(found.where("__row <> component_id").select(F.col("__row").alias("r"), "component_id"), "near-others")
     members = others.unionByName(others.select(F.col("component_id").alias("r"), "component_id").distinct())
     members = materialise(members.join(rows.select("__row", "doc_id"), F.col("r") == F.col("__row")).select("r", "doc_id", "component_id"), "near-members")
+    discard(others)
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("best"))
     drop = members.join(best.select(F.col("component_id").alias("c"), F.col("best.r").alias("stays")), F.col("component_id") == F.col("c")).where("r <> stays").select("r")
     return rows.join(drop, F.col("__row") == F.col("r"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a document taken in part gives the words from its start."""
+    """Every document as often as the mix takes it. A source's line ends inside one document, which then gives its text up to that word's end."""
     rows = mix_sources(docs, carry=docs.columns).where("taken > 0")
     copies = F.expr("sequence(1L, CAST(ceil(taken / size) AS BIGINT))")
     rows = rows.withColumn("copy", F.explode(copies)).withColumn("part", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
-    text = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("part").cast("int")), " "))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    cut = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), F.col("part").cast("int")), "")
+    return with_text(rows, F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(cut), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
     return pack(docs)
 
 
@@ -69,5 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+            before, docs = docs, materialise(docs, f"stage-{name}")
+            if i:
+                discard(before)
     return docs
