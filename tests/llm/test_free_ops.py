@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -119,8 +120,8 @@ def test_licenses(spark, edge, empty):
         "Copyright (c) 2020 Some Body Here. All Rights Reserved", "Copyright one two three four five six seven all rights reserved", "licensed under the GNU Lesser General Public License, version 3",
     ]
     got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert got[0].labels == "apache-2.0" and got[0].base_labels == "" and got[0].score == 1 and got[0].n_words == 8
-    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (3, 0, 4, "cc-by") and got[1].score == 0.5
+    assert got[0].labels == "apache-2.0" and got[0].base_labels == "" and got[0].score == 1 - 2 ** (-1 - 7 / 8) and got[0].n_words == 8
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (3, 0, 4, "cc-by") and got[1].score == 0.25
     assert got[2].labels == "gpl,reserved" and got[2].n_base == 2
     assert got[3].n_words == got[4].n_words == 0 and got[3].first_word is None and got[3].score == 0
     assert "copyright-notice" in got[5].labels and "copyright-notice" not in got[6].labels
@@ -128,6 +129,53 @@ def test_licenses(spark, edge, empty):
     assert scan_licenses(edge).count() == edge.count() and scan_licenses(empty).count() == 0
 
 
+def as_pattern(markup):
+    """Template markup as a regular expression over words with a space after each."""
+    out = ""
+    for item in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
+        if item == "<<optional>>":
+            out += "(?:"
+        elif item == "<</optional>>":
+            out += ")?"
+        elif item.startswith("<<"):
+            out += "(?:[^ ]+ ){0,%s}" % re.search(r"\d+", item)[0]
+        else:
+            out += "".join(re.escape(w) + " " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", item.translate(LOW)))
+    return re.compile("(?<![^ ])" + out)
+
+
+def test_licenses_against_brute_force(spark, corpus):
+    """All columns, over the corpus and over texts made of the templates themselves."""
+    from tripleloom.llm.license_scan import PHRASES
+    from tripleloom.llm.license_texts import TEMPLATES
+
+    rng = random.Random(3)
+    patterns = [(label, as_pattern(m)) for label, m in TEMPLATES]
+    rows = [(r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()]
+    for i, (_, markup) in enumerate(TEMPLATES):
+        whole = re.sub(r"<<var[^>]*>>", " Some Holder ", re.sub(r"<</?optional>>", " ", markup))
+        bare = re.sub(r"<<var[^>]*>>", "", re.sub(r"<<optional>>.*?<</optional>>", " ", re.sub(r"<<optional>>s<</optional>>", "", markup), flags=re.S))
+        words = whole.split()
+        broken = " ".join([*words[: len(words) // 2], "other", *words[len(words) // 2 :]])
+        for j, t in enumerate((whole, bare, broken, whole.upper() + rows[i][1], bare + "\n" + whole)):
+            rows.append((10**6 + 10 * i + j, rng.choice(["", "Before. ", "cc by "]) + t))
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    found = Counter()
+    for d, text in rows:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
+        places = [(i, label) for p, label in PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
+        base = {label for _, label in places}
+        norm = "".join(w + " " for w in ws)
+        labels = base | {label for label, p in patterns if p.search(norm)}
+        found.update(labels)
+        r, at = got[d], [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(ws), len(at), min(at, default=None), max(at, default=None))
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(labels))), text[:300]
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
+    assert {label for label, _ in TEMPLATES} <= set(found)
+
+
 def test_automaton():
     a = Automaton("<<optional>>a<</optional>> b c <<var max=2>> d <<optional>>e f<</optional>> g")
     for text, ok in (("a b c d g", True), ("b c d g", True), ("b c x d e f g", True), ("b c x y d g", True), ("b c x y z d g", False), ("b c d e g", False), ("b d g", False)):

@@ -18,33 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
+
 #: phrase, label
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: label, markup
-TEMPLATES = (
-    ("apache-2.0", "licensed under <<optional>>the terms of<</optional>> the apache license <<optional>>version<</optional>> 2 0"),
-    ("apache-2.0", "licensed under the apache license version 2 0 <<optional>>the license<</optional>> you may not use this file except in compliance with the license"),
-    ("mit", "<<var max=3>> released under the <<optional>>terms of the<</optional>> mit license"),
-    ("mit", "licensed under the <<optional>>terms of the<</optional>> mit license"),
-    (
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
-        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
-        "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    ),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl-any", "licensed under the <<optional>>terms of the<</optional>> gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license"),
-    ("gpl-3.0", "gnu general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 3"),
-    ("gpl-2.0", "gnu general public license <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version 2"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license <<optional>>v<</optional>> <<optional>>version<</optional>> 2 0"),
-    ("cc-by-nc", "licensed under <<optional>>a creative commons<</optional>> cc by nc"),
-    ("cc-by-sa", "licensed under <<optional>>a creative commons<</optional>> cc by sa"),
-    ("cc-by-license", "licensed under <<optional>>a creative commons<</optional>> cc by"),
-    ("copyright-notice", "copyright <<optional>>c<</optional>> <<var max=6>> all rights reserved"),
-)
-
 #: Bytes of words stay (A-Z in lower case), all others part words.
 TABLE = bytes(ord(chr(b).lower()) if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -56,19 +34,20 @@ class Automaton:
         self.words: list[dict[bytes, int]] = [{}]
         self.any: list[int | None] = [None]
         self.skip: list[list[int]] = [[]]
-        state, opened = 0, []
+        state, opened, self.mandatory = 0, [], 0
         run, self.anchor, self.before, seen_max, anchor_before = [], [], 0, 0, 0
         for item in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
             if not item.startswith("<<"):
-                word = item.encode().translate(TABLE).strip()
-                state = self._add(state, word)
-                if not opened:
-                    if not run:
-                        anchor_before = seen_max
-                    run.append(word)
-                    if len(run) > len(self.anchor):
-                        self.anchor, self.before = list(run), anchor_before
-                seen_max += 1
+                for word in item.encode().translate(TABLE).split():
+                    state = self._add(state, word)
+                    if not opened:
+                        self.mandatory += 1
+                        if not run:
+                            anchor_before = seen_max
+                        run.append(word)
+                        if len(run) > len(self.anchor):
+                            self.anchor, self.before = list(run), anchor_before
+                    seen_max += 1
                 continue
             run = []
             if item == "<<optional>>":
@@ -147,10 +126,12 @@ def scan_text(text: str | None, phrases: list[tuple[bytes, str]], automata: list
         for p in places(norm, a.needle):
             for start in range(max(free, p - a.before), p + 1):
                 if (end := a.end(words, start)) is not None and end > p:
-                    spans.append((label, start, end))
+                    spans.append((label, start, end, a.mandatory))
                     free = end
                     break
-    labels = base | {label for label, _, _ in spans}
+    labels = base | {label for label, *_ in spans}
+    # the more mandatory words of an accepted wording stand there, the surer
+    best = max((m for *_, m in spans), default=0)
     return {
         "n_words": len(words),
         "n_base": len(starts),
@@ -158,8 +139,8 @@ def scan_text(text: str | None, phrases: list[tuple[bytes, str]], automata: list
         "last_word": max(starts, default=None),
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(labels)),
-        "score": 1.0 if spans else 0.5 if base else 0.0,
-        "spans": [{"label": label, "start": s, "end": e} for label, s, e in spans],
+        "score": 1 - 2 ** (-1 - best / 8) if spans else 0.25 if base else 0.0,
+        "spans": [{"label": label, "start": s, "end": e} for label, s, e, _ in spans],
     }
 
 
@@ -168,7 +149,7 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, start, end in words).
 
-    score: 1 with an accepted template, 0.5 with phrases alone, else 0.
+    score: with an accepted template 1 - 2**(-1 - m / 8), m the most mandatory words of one; 0.25 with phrases alone, else 0.
     """
     needles = [(b" " + b" ".join(p.encode().translate(TABLE).split()) + b" ", label) for p, label in phrases]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
