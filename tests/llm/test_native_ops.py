@@ -33,6 +33,48 @@ def test_quality_counts(table, request):
     assert got == Counter((r.doc_id, *brute_rules(r.text)) for r in rows)
 
 
+def brute_line(line):
+    """Whether a line with words must go."""
+    from tripleloom.llm import quality_rules as Q
+
+    n = len(WORD.findall(line))
+    if n < 5 and not re.search(r"""[.!?:;,…。！？"'”’»)\]}][\x20\x09-\x0D]*$""", line):
+        return True
+    if 3 * len(re.findall(r"(?:^|[\x20\x09])[|>»›•·/\\](?=[\x20\x09]|$)", line)) > n:
+        return True
+    phrases = [x for p in (Q.MENU_WORDS, Q.BOILERPLATE_PHRASES) for x in p.values()]
+    rest = line.strip(" \t\n\x0b\x0c\r")
+    while rest and (m := max((m for p in phrases[:4] for w in p.split("|") if (m := re.match(w, rest, re.I))), key=lambda m: m.end(), default=None)):
+        rest = rest[m.end() :].lstrip(" \t|>»›•·/,")
+    if not rest:
+        return True
+    starts = [i for i in range(len(line)) if i == 0 or not re.match("[A-Za-z]", line[i - 1])]
+    if n <= 25 and any(re.match(p, line[i:], re.I) for p in phrases[4:] for i in starts):
+        return True
+    return len(re.findall(r"[#*$%&|<>]", line)) > n or (n >= 5 and 3 * len(re.findall(r"[!?]{2,}", line)) > n)
+
+
+def test_quality_verdicts(spark, corpus, edge):
+    """kept, cleaned_text and removed words against brute force, over the corpus, the edge cases and lines of all languages."""
+    more = ["Startseite | Kontakt | Impressum", "Alle Rechte vorbehalten und noch mehr Worte dazu.", "Accueil > Aide", "Tous droits Réservés, dit le monsieur de la maison.", "INICIO / AYUDA", "Leer más sobre todo esto en la red.",
+            "Ends well.", "no end", "A, b!! c!! d!! e!! f!!", "# * $ % a", "unpowered by nothing at all, it said to them.", "Home is where the heart is, they say."]
+    body = "This line has quite a few words and ends with a mark, so that it is kept in any case."
+    rows = [(10**6 + i, f"{body}\n{x}\n{body} Indeed.") for i, x in enumerate(more)] + [(10**6 + 99, "\n".join(more)), (10**6 + 100, f"{body}\n" + "\n".join(more))]
+    rows += [(r.doc_id, r.text) for df in (corpus, edge) for r in df.select("doc_id", "text").collect()]
+    want = Counter()
+    for d, t in rows:
+        t = t or ""
+        n, *_, repeated = brute_rules(t)
+        lines = t.split("\n")
+        gone = [bool(WORD.search(x)) and brute_line(x) for x in lines]
+        removed = sum(len(WORD.findall(x)) for x, g in zip(lines, gone, strict=True) if g)
+        failed = n < 20 or 100 * repeated > 30 * n
+        want[d, failed, not failed and 100 * removed <= 40 * n, sum(gone), removed, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)] += 1
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, r.base_failed, r.kept, r.removed_lines, r.removed_words, r.cleaned_text) for r in got)
+    assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3])
+
+
 def test_quality_lines(spark):
     good = "This line has quite a few words and ends with a mark."
     more = "Another one follows here, also long enough to be kept."

@@ -1,7 +1,7 @@
 """Operator 4, quality rules: line-first cleaning, in DataFrame functions only.
 
-Every line is judged by itself (punctuation, navigation, boilerplate, symbols), failing lines are removed, and a
-document is rejected when the removed lines held too many of its words, or by the whole-text rules (too few words, too
+Every line is judged by itself (punctuation, navigation, boilerplate, symbols; with word lists in English, German, French
+and Spanish, whatever the document's language), failing lines are removed, and a document is rejected when the removed lines held too many of its words, or by the whole-text rules (too few words, too
 much verbatim repetition).
 
 Defined cases: a null text is an empty one; a text without words is rejected (too few words) and its cleaned text is
@@ -22,14 +22,22 @@ SYMBOLS = r"[#*$%&|<>]"
 TERMINAL = r"""[.!?:;,…。！？"'”’»)\]}][\x20\x09-\x0D]*$"""
 #: Marks between the items of a menu or a breadcrumb.
 SEPARATORS = r"(?:^|[\x20\x09])[|>»›•·/\\](?=[\x20\x09]|$)"
-MENU = (
-    r"(?i)^[\x20\x09-\x0D]*(?:(?:home|menu|login|log in|sign in|sign up|register|search|contact|contact us|about|about us|"
-    r"sitemap|next|previous|back|top|share|print|faq|help|cart|checkout)[\x20\x09|>»›•·/,]*)+$"
-)
-BOILERPLATE = (
-    r"(?i)(?:cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|powered by|enable javascript|"
-    r"click here|read more|subscribe to|newsletter|share this|follow us|skip to content|accept (?:all )?cookies|lorem ipsum)"
-)
+#: Words and phrases of menus, and of boilerplate, in the languages the rules know. Letters beyond A-Z stand in both cases.
+MENU_WORDS = {
+    "en": "home|menu|login|log in|log out|sign in|sign up|register|search|contact|contact us|about|about us|sitemap|next|previous|back|top|share|print|faq|help|cart|checkout|blog|news|archive|categories|tags",
+    "de": "startseite|anmelden|abmelden|registrieren|suche|suchen|kontakt|impressum|datenschutz|weiter|zur[üÜ]ck|nach oben|teilen|drucken|hilfe|warenkorb|kasse|[üÜ]ber uns|nachrichten|archiv|kategorien",
+    "fr": "accueil|connexion|d[éÉ]connexion|inscription|recherche|rechercher|[àÀ] propos|plan du site|suivant|pr[éÉ]c[éÉ]dent|retour|haut de page|partager|imprimer|aide|panier|mentions l[éÉ]gales|actualit[éÉ]s|cat[éÉ]gories",
+    "es": "inicio|iniciar sesi[óÓ]n|cerrar sesi[óÓ]n|registrarse|buscar|b[úÚ]squeda|contacto|acerca de|sobre nosotros|mapa del sitio|siguiente|anterior|volver|arriba|compartir|imprimir|ayuda|carrito|noticias|archivo|categor[íÍ]as",
+}
+BOILERPLATE_PHRASES = {
+    "en": "cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|powered by|enable javascript|click here|read more|subscribe to|newsletter|share this|follow us|skip to content|accept (?:all )?cookies|lorem ipsum",
+    "de": "cookie-richtlinie|datenschutzerkl[äÄ]rung|nutzungsbedingungen|alle rechte vorbehalten|javascript aktivieren|hier klicken|weiterlesen|mehr lesen|abonnieren|folgen sie uns|zum inhalt springen|cookies (?:akzeptieren|zulassen)",
+    "fr": "politique de (?:confidentialit[éÉ]|cookies)|conditions d.utilisation|tous droits r[éÉ]serv[éÉ]s|activer javascript|cliquez ici|lire la suite|en savoir plus|abonnez-vous|suivez-nous|aller au contenu|accepter les cookies",
+    "es": "pol[íÍ]tica de (?:privacidad|cookies)|t[éÉ]rminos de uso|todos los derechos reservados|activar javascript|haga clic aqu[íÍ]|leer m[áÁ]s|suscr[íÍ]bete|s[íÍ]guenos|saltar al contenido|aceptar (?:las )?cookies",
+}
+MENU = rf"(?i)^[\x20\x09-\x0D]*(?:(?:{'|'.join(MENU_WORDS.values())})[\x20\x09|>»›•·/,]*)+$"
+#: A phrase begins where a word does.
+BOILERPLATE = rf"(?i)(?<![A-Za-z])(?:{'|'.join(BOILERPLATE_PHRASES.values())})"
 
 
 def line_fails(line: Column, *, short_line: int = 5, boilerplate_words: int = 25) -> Column:
