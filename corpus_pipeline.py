@@ -24,18 +24,20 @@ ORACLE_SQL = None
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
-def with_text(rows: DataFrame, text: Column, columns: list[str]) -> DataFrame:
-    """The columns with a new text, and its length where n_chars tells it."""
-    rows = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(rows.schema["n_chars"].dataType))
-    return rows.select(*columns)
+def carried(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs out of rows' struct `carried`, with a new text and its length where n_chars tells it."""
+    out = {c: F.col("carried")[c] for c in docs.columns}
+    if text is not None:
+        rows = rows.select("carried", text.alias("text"))
+        out["text"] = F.col("text")
+        if "n_chars" in out:
+            out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in out.items()])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines leave the texts, rejected documents leave the table."""
-    judged = quality_rules(docs, carry=[c for c in docs.columns if c != "text"]).where("kept")
-    return with_text(judged, F.col("cleaned_text"), docs.columns)
+    return carried(quality_rules(docs, carry=docs.columns).where("kept"), docs, F.col("cleaned_text"))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +47,16 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of similar texts stays, the one with the smallest id, then the smallest stored row number: five words, similarity 0.8."""
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
-    found = jaccard_components(rows, id_col="__row", width=5, percent=80)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(*docs.columns).alias("carried")), "near-rows")
+    found = jaccard_components(rows, id_col="row", width=5, percent=80)
     # a component is named after its smallest row
-    others = materialise(found.where("__row <> component_id").select(F.col("__row").alias("r"), "component_id"), "near-others")
+    others = materialise(found.where("row <> component_id").select(F.col("row").alias("r"), "component_id"), "near-others")
     members = others.unionByName(others.select(F.col("component_id").alias("r"), "component_id").distinct())
-    members = materialise(members.join(rows.select("__row", "doc_id"), F.col("r") == F.col("__row")).select("r", "doc_id", "component_id"), "near-members")
+    members = materialise(members.join(rows.select("row", "doc_id"), F.col("r") == F.col("row")).select("r", "doc_id", "component_id"), "near-members")
     discard(others)
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("best"))
     drop = members.join(best.select(F.col("component_id").alias("c"), F.col("best.r").alias("stays")), F.col("component_id") == F.col("c")).where("r <> stays").select("r")
-    return rows.join(drop, F.col("__row") == F.col("r"), "left_anti").select(*docs.columns)
+    return carried(rows.join(drop, F.col("row") == F.col("r"), "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +64,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = mix_sources(docs, carry=docs.columns).where("taken > 0")
     copies = F.expr("sequence(1L, CAST(ceil(taken / size) AS BIGINT))")
     rows = rows.withColumn("copy", F.explode(copies)).withColumn("part", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
-    cut = F.array_join(F.slice(F.split("text", WORD_END), F.lit(1), F.col("part").cast("int")), "")
-    return with_text(rows, F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(cut), docs.columns)
+    text = F.col("carried.text")
+    cut = F.array_join(F.slice(F.split(text, WORD_END), F.lit(1), F.col("part").cast("int")), "")
+    return carried(rows, docs, F.when(F.col("part") == F.col("size"), text).otherwise(cut))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,11 +84,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            before, docs = docs, materialise(docs, f"stage-{name}")
-            if i:
-                discard(before)
+            docs = materialise(docs, f"stage-{name}")
+            discard(*stored)
+            stored = [docs]
     return docs

@@ -90,9 +90,10 @@ def quality_rules(
 ) -> DataFrame:
     """One row per document: the counts, removed_lines, removed_words, cleaned_text, base_failed and kept.
 
-    carry: input columns to pass through under their own names (for pipelines).
+    carry: input columns to pass through in a struct `carried` instead of the id.
     """
-    rows = docs.select(*[F.col(c) for c in carry or [id_col]], text_of(text_col).alias("__text"))
+    keep, name = (F.struct(*carry), "carried") if carry else (F.col(id_col), id_col)
+    rows = docs.select(keep.alias("__kept"), text_of(text_col).alias("__text"))
     per_text = let(
         words(F.col("__text")),
         lambda ws: F.struct(
@@ -118,7 +119,7 @@ def quality_rules(
     n = F.col("__w.n_words")
     failed = (n < min_words) | (F.col("__w.n_repeat_words") * 100 > n * max_repeat_percent)
     return rows.select(
-        *(carry or [id_col]),
+        F.col("__kept").alias(name),
         n.alias("n_words"),
         F.col("__w.word_chars").alias("word_chars"),
         "n_symbols",
