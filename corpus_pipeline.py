@@ -47,12 +47,12 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of similar texts stays, the one with the smallest id, then the smallest stored row number: five words, similarity 0.8."""
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(*docs.columns).alias("carried")), "near-rows")
-    found = jaccard_components(rows, id_col="row", width=5, percent=80)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("carried")), "near-rows")
+    found = jaccard_components(rows.select("row", "carried.text"), id_col="row", width=5, percent=80)
     # a component is named after its smallest row
     others = materialise(found.where("row <> component_id").select(F.col("row").alias("r"), "component_id"), "near-others")
     members = others.unionByName(others.select(F.col("component_id").alias("r"), "component_id").distinct())
-    members = materialise(members.join(rows.select("row", "doc_id"), F.col("r") == F.col("row")).select("r", "doc_id", "component_id"), "near-members")
+    members = materialise(members.join(rows.select("row", "carried.doc_id"), F.col("r") == F.col("row")).select("r", "doc_id", "component_id"), "near-members")
     discard(others)
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("best"))
     drop = members.join(best.select(F.col("component_id").alias("c"), F.col("best.r").alias("stays")), F.col("component_id") == F.col("c")).where("r <> stays").select("r")

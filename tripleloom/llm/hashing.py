@@ -18,9 +18,9 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BYTE, WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 BYTE_INVERSE, WORD_INVERSE = pow(BYTE, -1, 1 << 64), pow(WORD, -1, 1 << 64)
 #: Bytes of text in a block; a longer word is summed block by block.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Texts and bytes that are hashed at once; a longer text goes alone.
-TEXTS, SIZE = 256, 4 << 20
+TEXTS, SIZE = 256, 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -40,9 +40,8 @@ MENU = rf"(?i)^[\x20\x09-\x0D]*(?:(?:{'|'.join(MENU_WORDS.values())})[\x20\x09|>
 BOILERPLATE = rf"(?i)(?<![A-Za-z])(?:{'|'.join(BOILERPLATE_PHRASES.values())})"
 
 
-def line_fails(line: Column, *, short_line: int = 5, boilerplate_words: int = 25) -> Column:
-    """Whether a line with words must go: unfinished and short, a menu, boilerplate, or mostly marks."""
-    n = n_words(line)
+def line_fails(line: Column, n: Column, *, short_line: int = 5, boilerplate_words: int = 25) -> Column:
+    """Whether a line of n words, one or more, must go: unfinished and short, a menu, boilerplate, or mostly marks."""
     unfinished = (n < short_line) & ~line.rlike(TERMINAL)
     menu = (F.regexp_count(line, F.lit(SEPARATORS)) * 3 > n) | line.rlike(MENU)
     boilerplate = (n <= boilerplate_words) & line.rlike(BOILERPLATE)
@@ -113,7 +112,7 @@ def quality_rules(
 
     judged = F.transform(
         F.split(F.col("__text"), "\n"),
-        lambda line: let(n_words(line), lambda n: F.struct(line.alias("line"), n.alias("n"), F.when(n > 0, line_fails(line)).otherwise(F.lit(False)).alias("fails"))),
+        lambda line: let(n_words(line), lambda n: F.struct(line.alias("line"), n.alias("n"), F.when(n > 0, line_fails(line, n)).otherwise(F.lit(False)).alias("fails"))),
     )
     rows = rows.withColumn("__w", per_text).withColumn("__l", let(judged, of_lines)).withColumn("n_symbols", F.regexp_count("__text", F.lit(SYMBOLS)).cast("long"))
     n = F.col("__w.n_words")
