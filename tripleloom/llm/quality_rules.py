@@ -114,7 +114,9 @@ def quality_rules(
         F.split(F.col("__text"), "\n"),
         lambda line: let(n_words(line), lambda n: F.struct(line.alias("line"), n.alias("n"), F.when(n > 0, line_fails(line, n)).otherwise(F.lit(False)).alias("fails"))),
     )
-    rows = rows.withColumn("__w", per_text).withColumn("__l", let(judged, of_lines)).withColumn("n_symbols", F.regexp_count("__text", F.lit(SYMBOLS)).cast("long"))
+    # generated, so that a filter on the verdict doesn't compute all again
+    found = F.struct(per_text.alias("__w"), let(judged, of_lines).alias("__l"), F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    rows = rows.select("__kept", "__text", F.inline(F.array(found)))
     n = F.col("__w.n_words")
     failed = (n < min_words) | (F.col("__w.n_repeat_words") * 100 > n * max_repeat_percent)
     return rows.select(
