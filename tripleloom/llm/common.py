@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -67,6 +68,12 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there and lost executors cost no recomputation.
 
@@ -84,9 +91,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that materialise wrote and nothing will read again; Spark's cleaner then drops the shuffle files of their plans."""
+    """Deletes tables that materialise wrote and nothing will read again, and the shuffle files of their plans."""
     for df in tables:
         p, fs = _hadoop(df.sparkSession, df.stored_at)
         fs.delete(p, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        sweep(tables[0].sparkSession)
