@@ -34,7 +34,9 @@ def test_knowledge_base(spark):
     assert (got.description, got.label, got.sitelink, got.aliases) == ("text", "", "", ["a", "c d"])
     assert [(p.key, p.value, [c.value for c in p.children]) for p in got.properties] == [("P1", "last", ["child"])]
     config = spark.createDataFrame([("n", "P1", "*", "*", 1)], "name string, id string, subject_type string, object_type string, class_idx int")
-    assert sorted(r.dest for r in kg.relation_pairs(df, config).collect()) == ["last", "v1"]
+    dirty = ("Q2", [], [(0, "P1", "\ta|b \x02", "item", None), (1, "P1", "child", "item", 0)], [], [], [])
+    got = kg.relation_pairs(df.unionByName(spark.createDataFrame([dirty], WIKIDATA)), config).collect()
+    assert sorted((r.source, r.dest) for r in got) == [("Q1", "last"), ("Q2", "a b")]
 
 
 def sentence(spark, text):
@@ -64,7 +66,7 @@ def test_positive_and_negative(spark):
     neg = {r.relation: r.entity_pairs for r in distant.negative_sentences(s, known, rel).collect()}
     assert neg == {"P1": ["alphabet>countries", "countries>universe"], "P2": ["alphabet>countries", "alphabet>universe", "countries>universe"]}
     assert [r.entity_pairs for r in distant.negative_sentences(s, known, rel, strict=True).collect()] == [["alphabet>countries", "countries>universe"]]
-    assert distant.negative_fraction(5, 0, 10) == 0 and distant.negative_fraction(10**9, 1, 10) == 1
+    assert distant.negative_fraction(5, 0, 10) == 1 and distant.negative_fraction(0, 2, 10) == 0 and distant.negative_fraction(10**9, 1, 10) == 1
 
 
 def test_vocabulary(spark):

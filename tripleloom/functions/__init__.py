@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMPTY, MISSING = "<empty>", "<missing label>"
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once a row: generated, so that what uses them, filters too, isn't merged with their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d, null when d is 0."""
     return F.when(d != 0, n / d)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bind
+
 TRAIN_LENGTH, PREDICT_LENGTH = (5, 220), (5, 300)
 LABELS = ("PERSON", "LOCATION", "ORGANIZATION")
 
@@ -20,7 +22,7 @@ def sentences(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFr
 
 
 def tokenise(sents: DataFrame) -> DataFrame:
-    return sents.withColumn("tokens", F.regexp_extract_all("sent", F.lit(r"[\p{L}\d]+"), 0))
+    return bind(sents, tokens=F.regexp_extract_all("sent", F.lit(r"[\p{L}\d]+"), 0))
 
 
 def pos_tag(token: Column) -> Column:
@@ -35,13 +37,13 @@ def entity_label(name: Column) -> Column:
 
 
 def with_pos(sents: DataFrame) -> DataFrame:
-    return sents.withColumn("pos", F.transform("tokens", pos_tag))
+    return bind(sents, pos=F.transform("tokens", pos_tag))
 
 
 def with_entities(sents: DataFrame) -> DataFrame:
     """Entities in token order, one for each occurrence."""
     marked = F.transform("tokens", lambda t, i: F.struct(i.alias("idx"), F.concat(F.lit("Q:"), F.lower(t)).alias("id"), entity_label(t).alias("label")))
-    return sents.withColumn("entities", F.filter(marked, lambda e: e["id"].rlike("^Q:[a-z]{7,}$")))
+    return bind(sents, entities=F.filter(marked, lambda e: e["id"].rlike("^Q:[a-z]{7,}$")))
 
 
 def annotate(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFrame:

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import clean_text
 
-#: Up to so many rows a relation table or its pairs are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Up to so many bytes, as held in memory, a relation table or its pairs are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is checked to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its size is known to be small. What isn't a local table is kept (memory, then disk), so that measuring it computes it once."""
+    if df._jdf.queryExecution().optimizedPlan().nodeName() != "LocalRelation":
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df.count()
+        df = df.select("*")  # reads what is kept, whose statistics are its size
+    return F.broadcast(df) if _bytes(df) <= BROADCAST_BYTES else df
 
 
 def _first_text(name: str, lang: str) -> Column:
@@ -36,8 +45,8 @@ def type_entities(rows: DataFrame, lang: str = "en") -> DataFrame:
 
 
 def relation_pairs(rows: DataFrame, config: DataFrame) -> DataFrame:
-    """relation, source, dest: distinct top-level properties whose key is a configured relation."""
-    props = rows.select("id", F.inline(F.filter("properties", lambda p: p["parent"].isNull())))
+    """relation, source, dest: distinct top-level properties of the typed entities, cleaned, whose key is a configured relation."""
+    props = type_entities(rows).select("id", F.inline("properties"))
     found = props.join(small(config.select(F.col("id").alias("key")).distinct()), "key")
     return found.select(F.col("key").alias("relation"), F.col("id").alias("source"), F.col("value").alias("dest")).distinct()
 

@@ -45,7 +45,7 @@ class RelationExtraction:
         n_probe = probe.count()
         probe = distant.sentence_pairs(annotate.annotate(probe))
         per_doc = distant.negative_sentences(probe, pairs, self.config.withColumnRenamed("id", "relation")).count() / n_probe if n_probe else 0.0
-        fraction = distant.negative_fraction(n_pos, per_doc, n_docs) or 1.0
+        fraction = distant.negative_fraction(n_pos, per_doc, n_docs)
         some = distant.sentence_pairs(annotate.annotate(sampling.sample(self.docs, fraction, [F.col("doc_id")])))
         negative = distant.negative_sentences(some, pairs, self.config.withColumnRenamed("id", "relation"))
         return distant.training_sentences(positive, negative)
