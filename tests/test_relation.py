@@ -52,12 +52,43 @@ def test_windows_and_paths(spark):
     near, far = got["alphabet", "countries"], got["alphabet", "universe"]
     assert near.words_between == [] and far.words_between == ["countries", "of", "the", "big"]
     assert near.word_features == ["<empty>"] * 3 + ["countries", "of", "the"] + ["<empty>", "<empty>", "alphabet", "of", "the", "big"]
-    assert far.path == [3, 6] and [e.dependency for e in far.dependency_path] == ["DET", "NOUN"]
-    assert near.path == [2] and len(near.ent1_dep_window) == 1
+    assert far.path == [2, 5] and [e.dependency for e in far.dependency_path] == ["DET", "NOUN"]
+    assert near.path == [1] and len(near.ent1_dep_window) == 1
     again = features.entity_pairs(sentence(spark, "universe and universe"))
     assert again.count() == 0
 
 
+def test_annotated_corpus(spark, tmp_path):
+    """A corpus's own sentences, tokens, edges and entities; a two-token entity, an unreachable one, and a chain of mentions."""
+    from tripleloom.schemas import CORPUS
+
+    text = "Ada Lovelace wrote to Babbage . She met him oddly ."
+    tokens, at = [], 0
+    for i, w in enumerate(text.split()):
+        at = text.index(w, at)
+        tokens.append((i, at, at + len(w), w, f"T{i}"))
+        at += len(w)
+    span = lambda a, b: (tokens[a][1], tokens[b][2])
+    # wrote is the root; Ada < Lovelace < wrote, to < wrote, Babbage < to; met the root of the second, He and oddly under it, him loose
+    deps = [(0, 1, "compound"), (1, 2, "nsubj"), (3, 2, "prep"), (4, 3, "pobj"), (6, 7, "nsubj"), (9, 7, "advmod"), (4, 7, "across")]
+    entities = [("Q:7259", "PERSON", *span(0, 1)), ("Q:46633", "PERSON", *span(4, 4)), ("Q:1", "THING", *span(8, 8))]
+    mentions = [("c1", *span(0, 1), "PROPER"), ("c1", *span(6, 6), "PRONOMINAL")]
+    row = (1, "u", "ARTICLE", "en", text, [span(0, 5), span(6, 10)], tokens, deps, entities, mentions)
+    spark.createDataFrame([row, (2, "u", "STUB", *row[3:])], CORPUS).write.parquet(str(tmp_path / "corpus"))
+    docs = sources.read_corpus(spark, str(tmp_path / "corpus"))
+    got = features.with_features(features.directed(features.entity_pairs(annotate.sentence_rows(docs)))).where("ent1_is_subject").collect()
+    assert [(r.subject, r.object) for r in got] == [("7259", "46633")]
+    r = got[0]
+    assert r.words_between == ["wrote", "to"] and r.ent1_pos == ["T0", "T1"] and r.ent2_pos == ["T4"] and r.word_features[:6] == ["<empty>"] * 3 + ["wrote", "to", "Babbage"]
+    assert [(e.dependency, e.word, e.direction) for e in r.dependency_path] == [("nsubj", "wrote", False), ("prep", "wrote", True), ("pobj", "to", True)]
+    assert [e.dependency for e in r.ent1_dep_window] == ["compound"] and r.ent2_dep_window == []
+    more = features.with_features(features.directed(features.entity_pairs(annotate.sentence_rows(docs, corefs=True)))).where("ent1_is_subject")
+    second = {(r.subject, r.object): r for r in more.collect() if r.sent_id == 1}
+    assert list(second) == [("7259", "1")] and second["7259", "1"].path == [] and [e.dependency for e in second["7259", "1"].ent1_dep_window] == ["nsubj"]
+    known = spark.createDataFrame([("P1", "46633", "7259")], "relation string, source string, dest string")
+    assert distant.positive_sentences(distant.sentence_pairs(annotate.sentence_rows(docs)), known).first().entity_pairs == ["46633>7259"]
+
+
 def test_positive_and_negative(spark):
     s = distant.sentence_pairs(sentence(spark, "alphabet countries of the big universe"))
     known = spark.createDataFrame([("P1", "universe", "alphabet"), ("P2", "countries", "nothing")], "relation string, source string, dest string")

@@ -43,10 +43,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(a.name).getOrCreate()
-    docs = sources.read_corpus(spark, a.corpus_path, a.sample_size).select("doc_id", "text")
+    docs = sources.read_corpus(spark, a.corpus_path, a.sample_size)
     config, wikidata = sources.read_relation_config(spark, a.relation_config), sources.read_wikidata(spark, a.wiki_data)
     vectors = sources.read_word2vec(spark, f"{a.word2vec_path}/model.opt.vocab", f"{a.word2vec_path}/model.opt.vecs")
-    plan = RelationExtraction(spark, docs, config, wikidata, vectors, a.temp_data_path, lang=a.language, epochs=a.epochs, threshold=a.probability_cutoff, suffix=a.model_suffix)
+    plan = RelationExtraction(spark, docs, config, wikidata, vectors, a.temp_data_path, lang=a.language, epochs=a.epochs, threshold=a.probability_cutoff, suffix=a.model_suffix, corefs=a.corefs)
     plan.preprocess()
     if a.stage != "preprocess":
         plan.train()

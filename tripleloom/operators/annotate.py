@@ -1,7 +1,8 @@
-"""Sentences, tokens, entities, dependencies and coreference as columns; an offline, deterministic annotator.
+"""Sentences, tokens, entities, dependencies and coreference as columns, of annotated corpora or by an offline, deterministic annotator.
 
-A sentence is one row: doc_id, sent_id, sent, tokens array<string>, pos array<string>, entities
-array<struct<idx, id, label>>. Everything inside a sentence is a higher-order expression, so nothing here shuffles.
+A sentence is one row: doc_id, sent_id, sent, tokens array<string>, pos array<string>, deps array<struct<tail, head, rel>>
+(token numbers from 0), entities array<struct<idx, last, id, label>> (first and last token). Everything inside a sentence is
+a higher-order expression, so nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -42,18 +43,67 @@ def with_pos(sents: DataFrame) -> DataFrame:
 
 def with_entities(sents: DataFrame) -> DataFrame:
     """Entities in token order, one for each occurrence."""
-    marked = F.transform("tokens", lambda t, i: F.struct(i.alias("idx"), F.concat(F.lit("Q:"), F.lower(t)).alias("id"), entity_label(t).alias("label")))
+    marked = F.transform("tokens", lambda t, i: F.struct(i.alias("idx"), i.alias("last"), F.concat(F.lit("Q:"), F.lower(t)).alias("id"), entity_label(t).alias("label")))
     return bind(sents, entities=F.filter(marked, lambda e: e["id"].rlike("^Q:[a-z]{7,}$")))
 
 
-def annotate(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFrame:
-    return with_entities(with_pos(tokenise(sentences(docs, length))))
+def with_deps(sents: DataFrame) -> DataFrame:
+    """A binary tree over the tokens: token i's head is (i + 1) div 2 - 1, and the relation is named by the token's tag."""
+    edge = lambda p, i: F.struct(i.alias("tail"), (F.floor((i + 1) / 2) - 1).cast("int").alias("head"), p.alias("rel"))
+    return bind(sents, deps=F.filter(F.transform("pos", edge), lambda d: d["head"] >= 0))
 
 
-def ancestors(i: Column, depth: int = 12) -> Column:
-    """The 1-based node and its heads up to the root, node i's head being i div 2."""
-    chain = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda k: F.floor(i / F.pow(F.lit(2.0), k)).cast("int"))
-    return F.filter(chain, lambda x: x > 0)
+def annotate(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFrame:
+    """Sentence rows of plain texts."""
+    return with_entities(with_deps(with_pos(tokenise(sentences(docs, length)))))
+
+
+def with_coreference(docs: DataFrame) -> DataFrame:
+    """Annotated documents whose entities also stand on every mention, but proper ones, of a chain that some mention of covers them."""
+    on = lambda e, m: F.struct(e["ned_id"].alias("ned_id"), e["ne_label"].alias("ne_label"), m["start"].alias("start"), m["end"].alias("end"))
+    others = lambda e, m: F.transform(F.filter("mentions", lambda x: (x["chain"] == m["chain"]) & (x["mtype"] != "PROPER")), lambda x: on(e, x))
+    covering = lambda e: F.filter("mentions", lambda m: (m["start"] <= e["start"]) & (m["end"] >= e["end"]))
+    copies = F.flatten(F.transform("entities", lambda e: F.flatten(F.transform(covering(e), lambda m: others(e, m)))))
+    return docs.withColumn("entities", F.when(F.col("mentions").isNull(), F.col("entities")).otherwise(F.array_union("entities", copies)))
+
+
+def from_corpus(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFrame:
+    """Sentence rows of annotated documents (schemas.CORPUS); an entity covers whole tokens of one sentence, an edge joins two of them."""
+    rows = docs.select("doc_id", "text", "tokens", "deps", "entities", F.posexplode("sentences").alias("sent_id", "s"))
+    rows = bind(rows, sent=F.expr("substring(text, s.start + 1, s.end - s.start)")).where(F.length("sent").between(*length))
+    inside = lambda x: (x["start"] >= F.col("s.start")) & (x["end"] <= F.col("s.end"))
+    rows = bind(rows.drop("text"), toks=F.sort_array(F.transform(F.filter("tokens", inside), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["idx"].alias("idx"), t["text"].alias("text"), t["pos"].alias("pos")))))
+    # the sentence's token numbers, found by the document's
+    place = lambda idx: (F.array_position(F.col("toks.idx"), idx) - 1).cast("int")
+    edges = F.transform("deps", lambda d: F.struct(place(d["tail_idx"]).alias("tail"), place(d["head_idx"]).alias("head"), d["rel"].alias("rel")))
+    count = lambda test: F.size(F.filter("toks", test))
+    named = F.transform(
+        F.filter("entities", inside),
+        lambda e: F.struct(
+            count(lambda t: t["end"] <= e["start"]).alias("idx"), (count(lambda t: t["start"] < e["end"]) - 1).alias("last"), e["ned_id"].alias("id"), e["ne_label"].alias("label")
+        ),
+    )
+    return bind(
+        rows, tokens_=F.col("toks.text"), pos=F.col("toks.pos"), deps_=F.filter(edges, lambda d: (d["tail"] >= 0) & (d["head"] >= 0)), entities_=F.filter(named, lambda e: e["last"] >= e["idx"])
+    ).select("doc_id", "sent_id", "sent", F.col("tokens_").alias("tokens"), "pos", F.col("deps_").alias("deps"), F.col("entities_").alias("entities"))
+
+
+def sentence_rows(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH, corefs: bool = False) -> DataFrame:
+    """Sentence rows by the documents' own annotation, or by the offline annotator where they have none."""
+    if "sentences" not in docs.columns:
+        return annotate(docs, length)
+    return from_corpus(with_coreference(docs) if corefs else docs, length)
+
+
+def heads_of(tokens: Column, deps: Column) -> Column:
+    """For each token the (head, rel) of its first edge, null for roots."""
+    return F.transform(tokens, lambda _, i: F.get(F.filter(deps, lambda d: d["tail"] == i), F.lit(0)))
+
+
+def upwards(token: Column, heads: Column) -> Column:
+    """The token and its heads up to the root."""
+    step = lambda up, _: F.when(F.get(heads, F.element_at(up, -1))["head"].isNull(), up).otherwise(F.concat(up, F.array(F.get(heads, F.element_at(up, -1))["head"])))
+    return F.aggregate(F.sequence(F.lit(1), F.size(heads)), F.array(token), step)
 
 
 def covered_by(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFrame:

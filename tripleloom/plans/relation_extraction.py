@@ -14,11 +14,11 @@ from .stage import Stage
 class RelationExtraction:
     """The stages preprocess, train and full over one work directory.
 
-    docs: doc_id, text. vectors: word, vec. The vocabularies of tags and the word vectors go to the executors as
+    docs: doc_id, text, or annotated documents (schemas.CORPUS), whose entities corefs spreads along their mentions. vectors: word, vec. The vocabularies of tags and the word vectors go to the executors as
     dictionaries: a fixed embedding table and a few dozen tags.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, config: DataFrame, wikidata: DataFrame, vectors: DataFrame, work: str, *, lang: str = "en", epochs: int = 5, threshold: float = models.THRESHOLD, suffix: str = "", corefs: DataFrame | None = None, seed: int = 7) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, config: DataFrame, wikidata: DataFrame, vectors: DataFrame, work: str, *, lang: str = "en", epochs: int = 5, threshold: float = models.THRESHOLD, suffix: str = "", corefs: bool = False, seed: int = 7) -> None:
         if epochs < 0 or not 0 <= threshold <= 1:
             raise ValueError("epochs must be 0 or more and the threshold within 0 and 1")
         self.spark, self.docs, self.config, self.work, self.epochs, self.threshold, self.suffix, self.seed = spark, docs, config, f"{work}/{lang}", epochs, threshold, suffix, seed
@@ -35,7 +35,10 @@ class RelationExtraction:
         self._net = None
 
     def _annotated(self) -> DataFrame:
-        return distant.sentence_pairs(annotate.annotate(self.docs))
+        return self._pairs_in(self.docs)
+
+    def _pairs_in(self, docs: DataFrame) -> DataFrame:
+        return distant.sentence_pairs(annotate.sentence_rows(docs, corefs=self.corefs))
 
     def _training(self) -> DataFrame:
         sents, pairs = self._annotated(), self.pairs.get()
@@ -43,17 +46,17 @@ class RelationExtraction:
         n_docs, n_pos = self.docs.count(), positive.count()
         probe = sampling.sample(self.docs, 0.01, [F.col("doc_id")])
         n_probe = probe.count()
-        probe = distant.sentence_pairs(annotate.annotate(probe))
+        probe = self._pairs_in(probe)
         per_doc = distant.negative_sentences(probe, pairs, self.config.withColumnRenamed("id", "relation")).count() / n_probe if n_probe else 0.0
         fraction = distant.negative_fraction(n_pos, per_doc, n_docs)
-        some = distant.sentence_pairs(annotate.annotate(sampling.sample(self.docs, fraction, [F.col("doc_id")])))
+        some = self._pairs_in(sampling.sample(self.docs, fraction, [F.col("doc_id")]))
         negative = distant.negative_sentences(some, pairs, self.config.withColumnRenamed("id", "relation"))
         return distant.training_sentences(positive, negative)
 
     def _points(self) -> DataFrame:
         points = features.with_features(features.directed(features.entity_pairs(self._annotated())))
         labelled = features.label_points(points, self.sentences.get(), self.config)
-        return features.prune_types(features.prune_paths(labelled), self.config).drop("pairs", "e1", "e2", "path", "sent", "tokens")
+        return features.prune_types(features.prune_paths(labelled), self.config).drop("pairs", "e1", "e2", "path", "sent", "tokens", "heads")
 
     def _dictionaries(self) -> list[dict]:
         return [{r["token"]: r["id"] for r in s.get().collect()} for s in (self.pos, self.types, self.deps)]
@@ -83,7 +86,7 @@ class RelationExtraction:
 
     def extract(self, docs: DataFrame | None = None) -> DataFrame:
         self.train()
-        return predict.extract_relations(self.docs if docs is None else docs, self.config, self.score, self.threshold)
+        return predict.extract_relations(self.docs if docs is None else docs, self.config, self.score, self.threshold, self.corefs)
 
     def full(self) -> DataFrame:
         path = f"{self.work}/extractions"

@@ -144,7 +144,7 @@ def _annotated(spark, d):
 
 @query(f"with {ENT} select doc_id, sent_id, idx, id, label from ent")
 def entity_mentions(spark, d):
-    return _annotated(spark, d).select("doc_id", "sent_id", F.inline("entities")).withColumn("id", local_id(F.col("id")))
+    return _annotated(spark, d).select("doc_id", "sent_id", F.inline("entities")).drop("last").withColumn("id", local_id(F.col("id")))
 
 
 COVER = r"""words as (select doc_id, cast(generate_subscripts(ws, 1) - 1 as int) as pos, unnest(ws) w from (select doc_id, regexp_extract_all(text, '[\p{L}\d]+') ws from documents)),
@@ -290,13 +290,13 @@ AROUND = SIDE.format("i1 - 2, i1 - 1, i1, i1 + 2, i1 + 3, i1 + 4, i2 - 2, i2 - 1
 @query(f"with {LISTS} select doc_id, sent_id, i1, i2, array_to_string({AROUND.format('ws')}, ' ') words, array_to_string({AROUND.format('ps')}, ' ') tags from occ join arr using (doc_id, sent_id)")
 def token_window(spark, d):
     p = _occurrences(spark, d)
-    w = lambda v: F.array_join(X.token_window(v, F.col("i1"), F.col("i2")), " ")
+    w = lambda v: F.array_join(X.token_window(v, F.col("e1"), F.col("e2")), " ")
     return p.select("doc_id", "sent_id", "i1", "i2", w("tokens").alias("words"), w("pos").alias("tags"))
 
 
 @query(f"with {LISTS} select doc_id, sent_id, i1, i2, array_to_string(ws[i1 + 2 : least(i2, i1 + 11)], ' ') words from occ join arr using (doc_id, sent_id)")
 def between_tokens(spark, d):
-    return _occurrences(spark, d).select("doc_id", "sent_id", "i1", "i2", F.array_join(X.between("tokens", F.col("i1"), F.col("i2")), " ").alias("words"))
+    return _occurrences(spark, d).select("doc_id", "sent_id", "i1", "i2", F.array_join(X.between("tokens", F.col("e1"), F.col("e2")), " ").alias("words"))
 
 
 @query(f"with {LISTS} select doc_id, sent_id, i1, i2, ps[i1 + 1] pos1, ps[i2 + 1] pos2, t1 type1, t2 type2 from occ join arr using (doc_id, sent_id)")
@@ -312,7 +312,7 @@ PATH = f"""{OCC}, anc as (select *, {ANC.format('i1')} a, {ANC.format('i2')} b f
 
 @query(f"with {PATH} select doc_id, sent_id, i1, i2, array_to_string(path, ' ') path from path")
 def dependency_path(spark, d):
-    return _occurrences(spark, d).select("doc_id", "sent_id", "i1", "i2", F.array_join(X.dependency_path(F.col("i1"), F.col("i2")).cast("array<string>"), " ").alias("path"))
+    return X.with_path(_occurrences(spark, d)).select("doc_id", "sent_id", "i1", "i2", F.array_join(F.transform("path", lambda n: (n + 1).cast("string")), " ").alias("path"))
 
 
 WINDOW = f"""with {PATH}, edges as (select doc_id, sent_id, i1, i2, path, unnest([i1 + 1, 2 * (i1 + 1), 2 * (i1 + 1) + 1]) n from path),
@@ -324,7 +324,7 @@ WINDOW = f"""with {PATH}, edges as (select doc_id, sent_id, i1, i2, path, unnest
 
 @query(WINDOW)
 def dependency_window(spark, d):
-    p = _occurrences(spark, d).withColumn("path", X.dependency_path(F.col("i1"), F.col("i2"))).withColumn("w", X.dependency_window(F.col("i1"), F.col("path")))
+    p = X.with_path(_occurrences(spark, d)).withColumn("w", X.dependency_window(F.col("i1"), F.col("path")))
     return p.select("doc_id", "sent_id", "i1", "i2", F.coalesce(F.get(F.transform("w", lambda e: F.concat_ws("/", e["dependency"], e["word"])), F.lit(0)), F.lit("")).alias("edge"))
 
 
@@ -334,7 +334,7 @@ def _points(spark, d):
     kg = known_pairs(spark, d)
     neg = D.negative_sentences(S.sample(with_pairs, 0.1, [F.col("doc_id")]), kg, config(spark).select(F.col("id").alias("relation")))
     training = D.training_sentences(D.positive_sentences(with_pairs, kg), neg)
-    points = X.directed(X.entity_pairs(sents)).withColumn("path", X.dependency_path(F.col("e1.idx"), F.col("e2.idx")))
+    points = X.directed(X.with_path(X.entity_pairs(sents)))
     points = points.withColumns({"ent1_type": F.col("e1.label"), "ent2_type": F.col("e2.label")})
     return X.label_points(points, training, config(spark))
 
@@ -394,7 +394,7 @@ def netype_vocab(spark, d):
 
 @query(f"with {PATH} select t as token, row_number() over (order by t) id from (select distinct lower(pos) t from (select doc_id, sent_id, unnest(path) n from path) p join tag on tag.doc_id = p.doc_id and tag.sent_id = p.sent_id and tag.idx = n - 1)")
 def dep_vocab(spark, d):
-    p = _occurrences(spark, d).withColumn("path", X.dependency_path(F.col("i1"), F.col("i2")))
+    p = X.with_path(_occurrences(spark, d))
     return V.label_vocabulary(p.select(F.explode(X.edge_features(F.col("path"))).alias("e")).select(F.col("e.dependency").alias("token"))).withColumn("id", F.col("id").cast("long"))
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 
@@ -19,8 +20,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_corpus(spark: SparkSession, path: str, sample: float = 1.0, seed: int = 7) -> DataFrame:
-    """Articles of an annotated corpus, all or a seeded share."""
-    docs = spark.read.schema(schemas.CORPUS).parquet(path).where("type = 'ARTICLE'")
+    """Articles of a corpus, all or a seeded share, with the annotation columns that it has."""
+    has = set(spark.read.parquet(path).columns)
+    docs = spark.read.schema(StructType([f for f in schemas.CORPUS if f.name in has])).parquet(path).where("type = 'ARTICLE'")
     return docs if sample >= 1 else docs.sample(False, sample, seed)
 
 
