@@ -186,7 +186,7 @@ def test_end_to_end(spark, tmp_path):
     docs = [(i, f"The {p} was born in {q}. Then {places[(i + 3) % 8]} saw {p} walk by.") for i, (p, q) in enumerate(zip(people, places, strict=True))] * 4
     docs = [(i, t) for i, (_, t) in enumerate(docs)]
     config = spark.createDataFrame([("birth", "P19", "*", "*", 1)], "name string, id string, subject_type string, object_type string, class_idx int")
-    from tripleloom.schemas import WIKIDATA
+    from tripleloom.schemas import EVALUATION_POINT, WIKIDATA
 
     wd = spark.createDataFrame([(p, None, [(0, "P19", q, "item", None)], None, None, None) for p, q in zip(people, places, strict=True)], WIKIDATA)
     vectors = spark.createDataFrame([("born", [1.0, 0.0]), ("saw", [0.0, 1.0]), ("in", [0.5, 0.5])], "word string, vec array<float>")
@@ -198,6 +198,16 @@ def test_end_to_end(spark, tmp_path):
     table = plan.evaluate_data().first()
     assert table.n_verified > 0 and (tmp_path / "work/en/evaluation/data/_SUCCESS").exists()
 
+    point = lambda sub, obj, vote, i: (sub, "s", [(vote, "r")], "p", [(docs[i][1], "u")], obj, "o", "P19")
+    points = spark.createDataFrame([point("einstein", "stuttgart", "yes", 0), point("newtonian", "viennacity", "no", 1), point("false", "x", "yes", 2)], EVALUATION_POINT)
+    result = plan.evaluate_model(points, "two").collect()
+    assert [(r.relation, r.n_points, r.linking_recall) for r in result] == [("P19", 1, 0.5)] and result[0].tp <= 1
+    debug = spark.read.csv(str(tmp_path / "work/en/evaluation/two/debug"), sep="\t", header=True)
+    assert debug.count() == 2 and (tmp_path / "work/en/classification_model/epoch-3/_SUCCESS").exists()
+    again = RelationExtraction(spark, spark.createDataFrame(docs, "doc_id long, text string"), config, wd, vectors, str(tmp_path / "work"), threshold=0.3, epochs=3)
+    again.train()  # loads what the first one kept
+    assert all((a == b).all() for a, b in zip([*again._net.w, *again._net.b], [*plan._net.w, *plan._net.b], strict=True))
+
     server = serve.make_server(spark, plan, host="127.0.0.1", port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}"

@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from . import sources
 from .operators import models
@@ -55,9 +54,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.data_evaluation:
         plan.evaluate_data()
     for path in a.model_evaluation_files:
-        points = sources.read_evaluation_points(spark, path)
-        texts = points.select(F.monotonically_increasing_id().alias("doc_id"), F.array_join("evidences.snippet", "\n").alias("text"))
-        sources.write_tsv(plan.extract(texts), f"{plan.work}/evaluation/{path.rsplit('/', 1)[-1]}")
+        plan.evaluate_model(sources.read_evaluation_points(spark, path), path.rsplit("/", 1)[-1])
     if a.demo_server:
         from .serve import serve
 

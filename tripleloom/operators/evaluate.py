@@ -31,6 +31,52 @@ def linking_recall(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("n_points"), F.count_if(hit).alias("n_linked")).withColumn("recall", ratio(F.col("n_linked"), F.col("n_points")))
 
 
+def judged_predictions(points: DataFrame, linked: DataFrame, predictions: DataFrame) -> DataFrame:
+    """A row for each point with linked ids: point_id, relation, positive, triple, snippet, entities_linked, and its predictions, one a triple, with whether they are the point's.
+
+    points: point_id, wd_sub, wd_pred, wd_obj, judgments, evidences; linked: point_id, linked; predictions: point_id, subject, predicate, obj, probability.
+    """
+    points = points.where((F.col("wd_sub") != "false") & (F.col("wd_obj") != "false") & (F.col("wd_pred") != "false"))
+    best = best_per_triple(predictions.select("point_id", "subject", "predicate", "obj", "probability"), ["point_id", "subject", "predicate", "obj"])
+    of_point = best.groupBy("point_id").agg(F.collect_list(F.struct("subject", "predicate", "obj", "probability")).alias("found"))
+    rows = points.join(linked, "point_id", "left").join(of_point, "point_id", "left")
+    same = lambda p: (p["subject"] == F.col("wd_sub")) & (p["predicate"] == F.col("wd_pred")) & (p["obj"] == F.col("wd_obj"))
+    marked = F.transform("found", lambda p: F.struct(p["subject"].alias("subject"), p["predicate"].alias("predicate"), p["obj"].alias("obj"), p["probability"].alias("probability"), same(p).alias("correct")))
+    return rows.select(
+        "point_id", F.col("wd_pred").alias("relation"), majority().alias("positive"), F.concat_ws("/", "wd_sub", "wd_pred", "wd_obj").alias("triple"), F.array_join(F.transform("evidences", lambda e: e["snippet"]), " >> ").alias("snippet"),
+        F.coalesce(F.array_contains("linked", F.col("wd_sub")) & F.array_contains("linked", F.col("wd_obj")), F.lit(False)).alias("entities_linked"),
+        F.coalesce(marked, F.array().cast("array<struct<subject:string,predicate:string,obj:string,probability:double,correct:boolean>>")).alias("predictions"),
+    )
+
+
+def model_evaluation(judged: DataFrame, n: int = 100) -> DataFrame:
+    """By relation: n_points (positive ones), tp, n_predicted, recall, precision, f1, linking_recall over all points, and precision of the n most probable."""
+    count = lambda test: F.size(F.filter("predictions", test))
+    per = judged.groupBy("relation").agg(
+        F.count_if("positive").alias("n_points"), F.sum(count(lambda p: p["correct"])).alias("tp"), F.sum(F.size("predictions")).alias("n_predicted"), F.avg(F.col("entities_linked").cast("int")).alias("linking_recall")
+    )
+    most = n_most_probable(judged.select("relation", F.inline("predictions")), n, ["relation"], hit="correct").select(F.col("relation").alias("r"), F.col("precision").alias("n_most_precision"))
+    per = per.join(most, F.col("relation") == F.col("r"), "left")
+    return per.select("relation", "n_points", "tp", "n_predicted", *f1_row(F.col("tp"), F.col("n_points"), F.col("n_predicted")), "linking_recall", "n_most_precision")
+
+
+def debug_rows(judged: DataFrame) -> DataFrame:
+    """What each point got, as text; predictions as triple - probability - whether correct, tabs between them."""
+    one = lambda p: F.concat(F.concat_ws("/", p["subject"], p["predicate"], p["obj"]), F.lit(" - "), p["probability"].cast("string"), F.lit(" - "), p["correct"].cast("string"))
+    return judged.select(
+        F.col("snippet").alias("Sentences"), F.col("positive").cast("string").alias("Positive Datapoint"), F.col("triple").alias("RDF-triple"), F.col("entities_linked").cast("string").alias("Herd"),
+        F.array_join(F.transform("predictions", one), "\t").alias("Predicted Results:"),
+    )
+
+
+def debug_analysis(debug: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """From debug rows: positive points, those with both entities linked, and of these those with a correct prediction over the threshold."""
+    part = lambda p, i: F.element_at(F.split(p, " - "), i)
+    hit = F.exists(F.filter(F.split("`Predicted Results:`", "\t"), lambda p: p != ""), lambda p: (part(p, -1) == "true") & (part(p, -2).cast("double") >= threshold))
+    linked = F.col("Herd") == "true"
+    return debug.where("`Positive Datapoint` = 'true'").agg(F.count("*").alias("n_points"), F.count_if(linked).alias("n_linked"), F.count_if(linked & hit).alias("n_found"))
+
+
 def best_per_triple(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """The most probable prediction of each key; ties go to the smallest row."""
     others = [c for c in predictions.columns if c not in keys]

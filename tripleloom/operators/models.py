@@ -1,8 +1,7 @@
 """Filter and classification models, two-stage scoring and metrics.
 
 The filter is Spark ML's logistic regression. The classifier is a dense network 512-256 with ReLU, dropout and Adam,
-trained in numpy inside the partitions and averaged between rounds; `mlp_classifier` is Spark ML's own as an
-alternative without Python.
+trained in numpy inside the partitions and averaged between rounds.
 """
 
 from __future__ import annotations
@@ -11,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..sources import exists
 
 THRESHOLD = 0.75
 
@@ -32,12 +32,6 @@ def filter_probability(points: DataFrame, model: LogisticRegressionModel, featur
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def mlp_classifier(points: DataFrame, n_classes: int, features: str = "vector", label: str = "label", hidden: tuple[int, ...] = (64, 32), max_iter: int = 60):
-    rows = points.where(F.col(label) != 0).select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
-    n = len(rows.first()["features"])
-    return MultilayerPerceptronClassifier(layers=[n, *hidden, n_classes], maxIter=max_iter, seed=5).fit(rows)
-
-
 class Network:
     """Dense ReLU layers and a softmax; Adam; dropout while training only."""
 
@@ -45,6 +39,8 @@ class Network:
         rng = np.random.default_rng(seed)
         self.w = [rng.normal(0, np.sqrt(2 / (a + b)), (a, b)).astype(np.float32) for a, b in zip(sizes, sizes[1:], strict=False)]
         self.b = [np.zeros(b, np.float32) for b in sizes[1:]]
+        self.moments: tuple[list[np.ndarray], list[np.ndarray]] | None = None
+        self.steps = 0
 
     def forward(self, x: np.ndarray, rng=None, drop: float = 0.0) -> list[np.ndarray]:
         out = [x]
@@ -62,7 +58,8 @@ class Network:
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int, batch: int = 256, rate: float = 1e-3, drop: float = 0.5, decay: float = 1e-4) -> None:
         rng = np.random.default_rng(seed)
         params = [*self.w, *self.b]
-        m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        # moments go on from call to call
+        m, v = self.moments = self.moments or ([np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params])
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
@@ -77,20 +74,28 @@ class Network:
                     gb.insert(0, delta.sum(0))
                     if i:
                         delta = (delta @ self.w[i].T) * (acts[i] > 0)
-                t += 1
+                self.steps = t = self.steps + 1
                 for j, (p, g) in enumerate(zip(params, [*gw, *gb], strict=True)):
                     m[j] = 0.9 * m[j] + 0.1 * g
                     v[j] = 0.999 * v[j] + 0.001 * g * g
                     p -= rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
 
 
-def fit_network(points: DataFrame, n_classes: int, features: str = "vector", label: str = "label", hidden: tuple[int, ...] = (512, 256), epochs: int = 5, seed: int = 3) -> Network:
-    """Parameter averaging: each round every partition trains an epoch from the common parameters; rows of class 0 are left out."""
+def fit_network(points: DataFrame, n_classes: int, features: str = "vector", label: str = "label", hidden: tuple[int, ...] = (512, 256), epochs: int = 5, seed: int = 3, checkpoints: str | None = None) -> Network:
+    """Parameter averaging: each round every partition trains an epoch from the common parameters; rows of class 0 are left out.
+
+    checkpoints: a folder that keeps the network after each epoch, and from whose last one training goes on.
+    """
     if epochs < 1:
         raise ValueError("a network of 0 epochs has nothing to predict with")
     rows = points.where(F.col(label) != 0).select(F.col(features).cast("array<float>").alias("x"), F.col(label).cast("int").alias("y"))
-    net = Network([len(rows.first()["x"]), *hidden, n_classes], seed)
-    for epoch in range(epochs):
+    spark = points.sparkSession
+    first, net = 0, Network([len(rows.first()["x"]), *hidden, n_classes], seed)
+    for done in range(epochs, 0, -1) if checkpoints else ():
+        if exists(spark, f"{checkpoints}/epoch-{done}/_SUCCESS"):
+            first, net = done, load_network(spark, f"{checkpoints}/epoch-{done}")
+            break
+    for epoch in range(first, epochs):
         shared = points.sparkSession.sparkContext.broadcast((net.w, net.b))  # the network's own size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
@@ -116,6 +121,21 @@ def fit_network(points: DataFrame, n_classes: int, features: str = "vector", lab
         new = {r["part"]: np.frombuffer(r["sum"], np.float64) / r["n"] for r in sums.collect()}  # one row a layer
         flat = [new[i].reshape(p.shape).astype(np.float32) for i, p in enumerate(flat)]
         net.w, net.b = flat[: len(net.w)], flat[len(net.w) :]
+        if checkpoints:
+            save_network(spark, net, f"{checkpoints}/epoch-{epoch + 1}")
+    return net
+
+
+def save_network(spark: SparkSession, net: Network, path: str) -> None:
+    """A row for each layer's weights and each layer's biases."""
+    rows = [(i, list(p.shape), bytearray(p.astype("<f4").tobytes())) for i, p in enumerate([*net.w, *net.b])]
+    spark.createDataFrame(rows, "part int, shape array<int>, floats binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_network(spark: SparkSession, path: str) -> Network:
+    parts = [np.frombuffer(r["floats"], "<f4").reshape(r["shape"]).copy() for r in spark.read.parquet(path).orderBy("part").collect()]  # two rows a layer
+    net = Network([1, 1])
+    net.w, net.b = parts[: len(parts) // 2], parts[len(parts) // 2 :]
     return net
 
 
@@ -159,6 +179,14 @@ def binary_curve(scored: DataFrame, score: str = "score", label: str = "label",
     return per.select((F.col("bin") / bins).alias("threshold"), "tp", "fp", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
 
 
+def area_under_pr(curve: DataFrame) -> DataFrame:
+    """auprc: the trapezoids under binary_curve's precision over recall, from recall 0 with the first precision."""
+    down = Window.orderBy(F.desc("threshold"))  # a row for each bin
+    p0 = F.coalesce(F.lag("precision").over(down), F.col("precision"))
+    rows = curve.select(((F.col("recall") - F.lag("recall", 1, 0.0).over(down)) * (F.col("precision") + p0) / 2).alias("part"))
+    return rows.agg(F.sum("part").alias("auprc"))
+
+
 def area_under_roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """auroc: the share of positive-negative pairs in the right order, ties half, from one row for each distinct score."""
     per = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))

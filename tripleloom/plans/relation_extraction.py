@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..functions import local_id
 from ..operators import annotate, distant, evaluate, features, kg, models, predict, sampling, vectorize, vocab
 from .stage import Stage
 
@@ -78,7 +79,7 @@ class RelationExtraction:
         if self._net is None:
             key = [F.col(c) for c in ("doc_id", "sent_id", "subject", "object")]
             balanced = sampling.balance_classes(rows.drop("copy").where("class_idx > 0"), key, "class_idx")
-            self._net = models.fit_network(balanced, self.config.count() + 1, "vector", "class_idx", epochs=self.epochs)
+            self._net = models.fit_network(balanced, self.config.count() + 1, "vector", "class_idx", epochs=self.epochs, checkpoints=f"{self.work}/classification_model{self.suffix}")
 
     def score(self, points: DataFrame) -> DataFrame:
         model = LogisticRegressionModel.load(f"{self.work}/filter_model{self.suffix}")
@@ -94,6 +95,21 @@ class RelationExtraction:
             sources.write_extractions(self.extract(), path)
         return sources.read_extractions(self.spark, path)
 
+    def evaluate_model(self, points: DataFrame, name: str, n_most: int = 100) -> DataFrame:
+        """Judged points of one file against what is extracted from their snippets: the table by relation, and the debug rows beside it."""
+        folder = f"{self.work}/evaluation/{name}"
+        kept = Stage(self.spark, f"{folder}/points", lambda: points.withColumn("point_id", F.monotonically_increasing_id())).get()
+        texts = kept.select(F.col("point_id").alias("doc_id"), evaluate.merged_snippet().alias("text"))
+        linked = annotate.sentence_rows(texts, annotate.PREDICT_LENGTH).select(F.col("doc_id").alias("point_id"), F.explode(F.transform("entities", lambda e: local_id(e["id"]))).alias("id"))
+        linked = linked.groupBy("point_id").agg(F.collect_set("id").alias("linked"))
+        found = Stage(self.spark, f"{folder}/predictions", lambda: predict.known_classes(self.extract(texts))).get()
+        found = found.select(F.col("source").cast("long").alias("point_id"), "subject", F.col("predictedPredicate").alias("predicate"), "obj", "probability")
+        judged = Stage(self.spark, f"{folder}/judged", lambda: evaluate.judged_predictions(kept, linked, found)).get()
+        sources.write_tsv(evaluate.debug_rows(judged), f"{folder}/debug")
+        table = evaluate.model_evaluation(judged, n_most)
+        sources.write_tsv(table, f"{folder}/result")
+        return table
+
     def evaluate_data(self) -> DataFrame:
         found = self.full().select("subject", F.col("predictedPredicate").alias("predicate"), "obj", "probability")
         known = self.pairs.get().select(F.col("source").alias("subject"), F.col("relation").alias("predicate"), F.col("dest").alias("obj"))

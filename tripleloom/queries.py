@@ -474,6 +474,23 @@ def two_stage_score(spark, d):
     return s.select("vec_id", F.col("t.class_idx").alias("class_idx"), r6("t.probability").alias("probability"), r6("t.filter_prob").alias("filter_prob"), r6("t.class_prob").alias("class_prob"))
 
 
+FIXED = OCC.replace("between 5 and 220", "between 5 and 300")
+
+
+@query(f"""with {FIXED}, dir as (select doc_id, sent_id, id1 subject, id2 object, t1 st, t2 ot from occ union all select doc_id, sent_id, id2, id1, t2, t1 from occ),
+ s as (select *, 0.7 + 0.1 * (length(subject) % 4) fp, 1 + length(object) % 3 c from dir), k as (select *, fp * 0.95 p from s where fp >= 0.75 and fp * 0.95 >= 0.75)
+ select doc_id::varchar as source, md5(sent) sentence_md5, subject, object as obj, ['P19','P26','P69'][c] predicate, round(p, 6)::double probability from k join sent using (doc_id, sent_id)
+ where c = 3 or (c = 1 and st = 'PERSON' and ot = 'LOCATION') or (c = 2 and ot = 'PERSON')""")
+def extract_with_fixed_model(spark, d):
+    def score(points):
+        c = F.length("object") % 3 + 1
+        p = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == c, 0.95).otherwise(F.when(i == 0, 0.05).otherwise(0.0)))
+        return points.withColumns({"filter_probability": F.round(0.7 + 0.1 * (F.length("subject") % 4), 6), "class_probabilities": p})
+
+    out = P.extract_relations(documents(spark, d), config(spark), score)
+    return out.select("source", F.md5("sentence").alias("sentence_md5"), "subject", "obj", F.col("predictedPredicate").alias("predicate"), r6("probability").alias("probability"))
+
+
 @query("select vec_id, case label when 1 then 'P19' when 2 then 'P26' when 3 then 'P69' else '<unknown_class>: ' || label end predicate from embeddings where label <> 0")
 def predicate_lookup(spark, d):
     return P.name_predicates(_labelled(spark, d).where("label <> 0").withColumnRenamed("label", "class_idx"), config(spark)).select("vec_id", "predicate")
@@ -489,7 +506,7 @@ def filter_model_scores(spark, d):
 @query()
 def classifier_scores(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
-    net = M.fit_network(S.split(rows, [F.col("vec_id")]).where("is_train"), 10, hidden=(64, 32), epochs=3)
+    net = M.fit_network(S.split(rows, [F.col("vec_id")]).where("is_train"), 10)
     out = M.class_probabilities(rows, net)
     return out.select("vec_id", "label", (F.array_position("class_probabilities", F.array_max("class_probabilities")) - 1).cast("int").alias("prediction"), F.array_max("class_probabilities").alias("probability"))
 
@@ -511,6 +528,13 @@ def area_under_curve(spark, d):
     return M.area_under_roc(_scored(spark, d)).select(r6("auroc").alias("auroc"))
 
 
+@query(f"""with {SCORED}, b as (select least(floor(score * 100), 99)::int bin, sum(label) p, sum(1 - label) n from scored group by 1),
+ w as (select bin, sum(p) over (order by bin desc) tp, sum(n) over (order by bin desc) fp, sum(p) over () ap from b), c as (select bin, tp / nullif(tp + fp, 0)::double p, tp / nullif(ap, 0)::double r from w),
+ t as (select (r - coalesce(lag(r) over (order by bin desc), 0)) * (p + coalesce(lag(p) over (order by bin desc), p)) / 2 part from c) select round(sum(part), 6) auprc from t""")
+def area_under_precision_recall(spark, d):
+    return M.area_under_pr(M.binary_curve(_scored(spark, d))).select(r6("auprc").alias("auprc"))
+
+
 @query("select label, ((vec_id * 7 + label) % 10)::int prediction, count(*) n from embeddings group by all")
 def confusion_matrix(spark, d):
     return M.confusion(table(spark, d, "embeddings").select("label", ((F.col("vec_id") * 7 + F.col("label")) % 10).cast("int").alias("prediction")))
@@ -554,6 +578,38 @@ def linking_recall(spark, d):
     return E.linking_recall(points.join(linked, F.col("x") == F.col("doc_id") - F.col("doc_id") % 2)).withColumn("recall", r6("recall"))
 
 
+JUDGED = """p as (select event_id point_id, user_id::varchar s, event_type r, (event_id % 7)::varchar o, 2 * ((value > 100)::int + (value > 250)::int + (value > 400)::int) > 3 positive from events where event_id % 5 = 0),
+ g as (select event_id - event_id % 5 point_id, user_id::varchar s, event_type r, (event_id % 7)::varchar o, max(least(value / 500.0, 1.0)) q from events group by all),
+ l as (select event_id - event_id % 5 point_id, list(distinct user_id::varchar) subs, list(distinct (event_id % 7)::varchar) objs from events where value > 50 group by 1),
+ pl as (select p.*, coalesce(list_contains(subs, s) and list_contains(objs, o), false) hit from p left join l using (point_id)),
+ m as (select pl.point_id, pl.r relation, q, pl.s = g.s and pl.r = g.r and pl.o = g.o ok, positive, hit from pl join g using (point_id))"""
+
+
+def _judged_points(spark, d):
+    """Every fifth event is a point; the events up to the next one are what was extracted from it."""
+    e = table(spark, d, "events").withColumns({"point_id": F.col("event_id") - F.col("event_id") % 5, "s": F.col("user_id").cast("string"), "o": (F.col("event_id") % 7).cast("string")})
+    j = lambda x: F.struct(F.when(F.col("value") > x, "yes").otherwise("no").alias("judgment"))
+    points = e.where("event_id % 5 = 0").select("point_id", F.col("s").alias("wd_sub"), F.col("event_type").alias("wd_pred"), F.col("o").alias("wd_obj"), F.array(j(100), j(250), j(400)).alias("judgments"), F.array(F.struct(F.col("props").alias("snippet"))).alias("evidences"))
+    linked = e.where("value > 50").groupBy("point_id").agg(F.array_union(F.collect_set("s"), F.collect_set(F.concat(F.lit(""), "o"))).alias("linked"))
+    found = e.select("point_id", F.col("s").alias("subject"), F.col("event_type").alias("predicate"), F.col("o").alias("obj"), F.least(F.col("value") / 500.0, F.lit(1.0)).alias("probability"))
+    return E.judged_predictions(points, linked, found)
+
+
+@query(f"""with {JUDGED.replace("list_contains(subs, s) and list_contains(objs, o)", "list_contains(list_concat(subs, objs), s) and list_contains(list_concat(subs, objs), o)")}, a as (select r relation, count(*) filter (positive) n_points, avg(hit::int) linking from pl group by r), c as (select relation, count(*) filter (ok) tp, count(*) n_predicted from m group by relation),
+ k as (select relation, min(q) cut from (select *, row_number() over (partition by relation order by q desc) rn from m) where rn <= 50 group by relation), n as (select relation, count(*) filter (ok) / count(*)::double pr from m join k using (relation) where q >= cut group by relation),
+ z as (select *, tp / nullif(n_points, 0)::double rec, tp / nullif(n_predicted, 0)::double pre from a left join c using (relation) left join n using (relation))
+ select relation, n_points, tp, n_predicted, round(rec, 6) recall, round(pre, 6) as "precision", round(2 * pre * rec / nullif(pre + rec, 0), 6) f1, round(linking, 6) linking_recall, round(pr, 6) n_most_precision from z""")
+def model_evaluation(spark, d):
+    out = E.model_evaluation(_judged_points(spark, d), 50)
+    return out.withColumns({c: r6(c) for c in ("recall", "precision", "f1", "linking_recall", "n_most_precision")})
+
+
+@query(f"""with {JUDGED.replace("list_contains(subs, s) and list_contains(objs, o)", "list_contains(list_concat(subs, objs), s) and list_contains(list_concat(subs, objs), o)")}
+ select count(*) n_points, count(*) filter (hit) n_linked, count(*) filter (hit and exists (select 1 from m where m.point_id = pl.point_id and ok and q >= 0.75)) n_found from pl where positive""")
+def debug_analysis(spark, d):
+    return E.debug_analysis(E.debug_rows(_judged_points(spark, d)))
+
+
 @query(f"with {EXT} select subject, predicate, obj, max(probability) probability from ext group by all")
 def dedup_predictions(spark, d):
     return E.best_per_triple(extractions(spark, d), ["subject", "predicate", "obj"]).drop("event_id")
