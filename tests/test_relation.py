@@ -46,7 +46,7 @@ def sentence(spark, text):
 def test_windows_and_paths(spark):
     # entities: alphabet (0), countries (1, adjacent), universe (5)
     s = sentence(spark, "alphabet countries of the big universe")
-    p = features.with_features(features.directed(features.entity_pairs(s))).where("ent1_is_subject")
+    p = features.with_features(features.directed(features.entity_pairs(s, paths=True))).where("ent1_is_subject")
     got = {(r.subject, r.object): r for r in p.collect()}
     assert len(got) == 3
     near, far = got["alphabet", "countries"], got["alphabet", "universe"]
@@ -76,13 +76,13 @@ def test_annotated_corpus(spark, tmp_path):
     row = (1, "u", "ARTICLE", "en", text, [span(0, 5), span(6, 10)], tokens, deps, entities, mentions)
     spark.createDataFrame([row, (2, "u", "STUB", *row[3:])], CORPUS).write.parquet(str(tmp_path / "corpus"))
     docs = sources.read_corpus(spark, str(tmp_path / "corpus"))
-    got = features.with_features(features.directed(features.entity_pairs(annotate.sentence_rows(docs)))).where("ent1_is_subject").collect()
+    got = features.with_features(features.directed(features.entity_pairs(annotate.sentence_rows(docs), paths=True))).where("ent1_is_subject").collect()
     assert [(r.subject, r.object) for r in got] == [("7259", "46633")]
     r = got[0]
     assert r.words_between == ["wrote", "to"] and r.ent1_pos == ["T0", "T1"] and r.ent2_pos == ["T4"] and r.word_features[:6] == ["<empty>"] * 3 + ["wrote", "to", "Babbage"]
     assert [(e.dependency, e.word, e.direction) for e in r.dependency_path] == [("nsubj", "wrote", False), ("prep", "wrote", True), ("pobj", "to", True)]
     assert [e.dependency for e in r.ent1_dep_window] == ["compound"] and r.ent2_dep_window == []
-    more = features.with_features(features.directed(features.entity_pairs(annotate.sentence_rows(docs, corefs=True)))).where("ent1_is_subject")
+    more = features.with_features(features.directed(features.entity_pairs(annotate.sentence_rows(docs, corefs=True), paths=True))).where("ent1_is_subject")
     second = {(r.subject, r.object): r for r in more.collect() if r.sent_id == 1}
     assert list(second) == [("7259", "1")] and second["7259", "1"].path == [] and [e.dependency for e in second["7259", "1"].ent1_dep_window] == ["nsubj"]
     known = spark.createDataFrame([("P1", "46633", "7259")], "relation string, source string, dest string")

@@ -13,6 +13,15 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
 
 
+def spread(df: DataFrame, split_bytes: int = 16 << 20) -> DataFrame:
+    """df, dealt over all cores where its input has less than split_bytes for each of them, as a file of one row group is one task; larger input stays as scanned."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split_bytes else df
+
+
 def ratio(n: Column, d: Column) -> Column:
     """n / d, null when d is 0."""
     return F.when(d != 0, n / d)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bind
+from ..functions import bind, spread
 
 TRAIN_LENGTH, PREDICT_LENGTH = (5, 220), (5, 300)
 LABELS = ("PERSON", "LOCATION", "ORGANIZATION")
@@ -18,7 +18,7 @@ LABELS = ("PERSON", "LOCATION", "ORGANIZATION")
 
 def sentences(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFrame:
     """doc_id, sent_id, sent: pieces between sentence ends whose length in characters is within bounds."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent_id", "sent"))
+    parts = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sent_id", "sent"))
     return parts.where(F.length("sent").between(*length))
 
 
@@ -69,7 +69,7 @@ def with_coreference(docs: DataFrame) -> DataFrame:
 
 def from_corpus(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH) -> DataFrame:
     """Sentence rows of annotated documents (schemas.CORPUS); an entity covers whole tokens of one sentence, an edge joins two of them."""
-    rows = docs.select("doc_id", "text", "tokens", "deps", "entities", F.posexplode("sentences").alias("sent_id", "s"))
+    rows = spread(docs).select("doc_id", "text", "tokens", "deps", "entities", F.posexplode("sentences").alias("sent_id", "s"))
     rows = bind(rows, sent=F.expr("substring(text, s.start + 1, s.end - s.start)")).where(F.length("sent").between(*length))
     inside = lambda x: (x["start"] >= F.col("s.start")) & (x["end"] <= F.col("s.end"))
     rows = bind(rows.drop("text"), toks=F.sort_array(F.transform(F.filter("tokens", inside), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["idx"].alias("idx"), t["text"].alias("text"), t["pos"].alias("pos")))))
@@ -95,15 +95,16 @@ def sentence_rows(docs: DataFrame, length: tuple[int, int] = TRAIN_LENGTH, coref
     return from_corpus(with_coreference(docs) if corefs else docs, length)
 
 
-def heads_of(tokens: Column, deps: Column) -> Column:
-    """For each token the (head, rel) of its first edge, null for roots."""
-    return F.transform(tokens, lambda _, i: F.get(F.filter(deps, lambda d: d["tail"] == i), F.lit(0)))
+def heads_of(tokens: Column, deps: Column, tails: Column) -> Column:
+    """For each token the (head, rel) of its first edge, null for roots. tails: the edges' tails."""
+    return F.transform(tokens, lambda _, i: F.get(deps, F.array_position(tails, i) - 1))
 
 
-def upwards(token: Column, heads: Column) -> Column:
-    """The token and its heads up to the root."""
-    step = lambda up, _: F.when(F.get(heads, F.element_at(up, -1))["head"].isNull(), up).otherwise(F.concat(up, F.array(F.get(heads, F.element_at(up, -1))["head"])))
-    return F.aggregate(F.sequence(F.lit(1), F.size(heads)), F.array(token), step)
+def upwards(token: Column, parents: Column) -> Column:
+    """The token and its heads up to the root. parents: each token's head."""
+    last = lambda up: F.get(parents, F.element_at(up, -1))
+    step = lambda up, _: F.when(last(up).isNull(), up).otherwise(F.concat(up, F.array(last(up))))
+    return F.aggregate(parents, F.array(token), step)
 
 
 def covered_by(inner: DataFrame, outer: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ UNKNOWN_CLASS = "<unknown_class>"
 
 def candidate_points(docs: DataFrame, corefs: bool = False) -> DataFrame:
     """Directed entity pairs with features from all sentences of prediction length; paths may be empty."""
-    return with_features(directed(entity_pairs(sentence_rows(docs, PREDICT_LENGTH, corefs))))
+    return with_features(directed(entity_pairs(sentence_rows(docs, PREDICT_LENGTH, corefs), paths=True)))
 
 
 def name_predicates(points: DataFrame, config: DataFrame) -> DataFrame:

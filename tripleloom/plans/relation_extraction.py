@@ -55,7 +55,7 @@ class RelationExtraction:
         return distant.training_sentences(positive, negative)
 
     def _points(self) -> DataFrame:
-        points = features.with_features(features.directed(features.entity_pairs(self._annotated())))
+        points = features.with_features(features.directed(features.entity_pairs(self._annotated(), paths=True)))
         labelled = features.label_points(points, self.sentences.get(), self.config)
         return features.prune_types(features.prune_paths(labelled), self.config).drop("pairs", "e1", "e2", "path", "sent", "tokens", "heads")
 

@@ -278,8 +278,8 @@ def entity_pairs_directed(spark, d):
     return p.select("doc_id", "sent_id", F.col("e1.idx").alias("i1"), F.col("e2.idx").alias("i2"), "subject", "object", "ent1_is_subject")
 
 
-def _occurrences(spark, d):
-    return X.entity_pairs(_annotated(spark, d)).select("*", F.col("e1.idx").alias("i1"), F.col("e2.idx").alias("i2"))
+def _occurrences(spark, d, paths=False):
+    return X.entity_pairs(_annotated(spark, d), paths).select("*", F.col("e1.idx").alias("i1"), F.col("e2.idx").alias("i2"))
 
 
 LISTS = OCC + ", arr as (select doc_id, sent_id, list(tok order by idx) ws, list(pos order by idx) ps from tag group by doc_id, sent_id)"
@@ -301,7 +301,7 @@ def between_tokens(spark, d):
 
 @query(f"with {LISTS} select doc_id, sent_id, i1, i2, ps[i1 + 1] pos1, ps[i2 + 1] pos2, t1 type1, t2 type2 from occ join arr using (doc_id, sent_id)")
 def entity_pos(spark, d):
-    p = X.with_features(X.directed(X.entity_pairs(_annotated(spark, d)))).where("ent1_is_subject")
+    p = X.with_features(X.directed(X.entity_pairs(_annotated(spark, d), paths=True))).where("ent1_is_subject")
     return p.select("doc_id", "sent_id", F.col("e1.idx").alias("i1"), F.col("e2.idx").alias("i2"), F.col("ent1_pos")[0].alias("pos1"), F.col("ent2_pos")[0].alias("pos2"), F.col("ent1_type").alias("type1"), F.col("ent2_type").alias("type2"))
 
 
@@ -312,7 +312,7 @@ PATH = f"""{OCC}, anc as (select *, {ANC.format('i1')} a, {ANC.format('i2')} b f
 
 @query(f"with {PATH} select doc_id, sent_id, i1, i2, array_to_string(path, ' ') path from path")
 def dependency_path(spark, d):
-    return X.with_path(_occurrences(spark, d)).select("doc_id", "sent_id", "i1", "i2", F.array_join(F.transform("path", lambda n: (n + 1).cast("string")), " ").alias("path"))
+    return _occurrences(spark, d, paths=True).select("doc_id", "sent_id", "i1", "i2", F.array_join(F.transform("path", lambda n: (n + 1).cast("string")), " ").alias("path"))
 
 
 WINDOW = f"""with {PATH}, edges as (select doc_id, sent_id, i1, i2, path, unnest([i1 + 1, 2 * (i1 + 1), 2 * (i1 + 1) + 1]) n from path),
@@ -324,7 +324,7 @@ WINDOW = f"""with {PATH}, edges as (select doc_id, sent_id, i1, i2, path, unnest
 
 @query(WINDOW)
 def dependency_window(spark, d):
-    p = X.with_path(_occurrences(spark, d)).withColumn("w", X.dependency_window(F.col("i1"), F.col("path")))
+    p = _occurrences(spark, d, paths=True).withColumn("w", X.dependency_window(F.col("i1"), F.col("path")))
     return p.select("doc_id", "sent_id", "i1", "i2", F.coalesce(F.get(F.transform("w", lambda e: F.concat_ws("/", e["dependency"], e["word"])), F.lit(0)), F.lit("")).alias("edge"))
 
 
@@ -334,7 +334,7 @@ def _points(spark, d):
     kg = known_pairs(spark, d)
     neg = D.negative_sentences(S.sample(with_pairs, 0.1, [F.col("doc_id")]), kg, config(spark).select(F.col("id").alias("relation")))
     training = D.training_sentences(D.positive_sentences(with_pairs, kg), neg)
-    points = X.directed(X.with_path(X.entity_pairs(sents)))
+    points = X.directed(X.entity_pairs(sents, paths=True))
     points = points.withColumns({"ent1_type": F.col("e1.label"), "ent2_type": F.col("e2.label")})
     return X.label_points(points, training, config(spark))
 
@@ -394,7 +394,7 @@ def netype_vocab(spark, d):
 
 @query(f"with {PATH} select t as token, row_number() over (order by t) id from (select distinct lower(pos) t from (select doc_id, sent_id, unnest(path) n from path) p join tag on tag.doc_id = p.doc_id and tag.sent_id = p.sent_id and tag.idx = n - 1)")
 def dep_vocab(spark, d):
-    p = X.with_path(_occurrences(spark, d))
+    p = _occurrences(spark, d, paths=True)
     return V.label_vocabulary(p.select(F.explode(X.edge_features(F.col("path"))).alias("e")).select(F.col("e.dependency").alias("token"))).withColumn("id", F.col("id").cast("long"))
 
 
@@ -418,7 +418,7 @@ def feature_width(spark, d):
     """Vectors of all points of positive sentences."""
     sents = D.sentence_pairs(_annotated(spark, d))
     found = D.positive_sentences(sents, known_pairs(spark, d)).select("doc_id", "sent_id").distinct()
-    p = X.with_features(X.directed(X.entity_pairs(sents.join(K.small(found), ["doc_id", "sent_id"], "left_semi"))))
+    p = X.with_features(X.directed(X.entity_pairs(sents.join(K.small(found), ["doc_id", "sent_id"], "left_semi"), paths=True)))
     import numpy as np
 
     tags = {t: i + 1 for i, t in enumerate(("adv", "det", "noun", "num", "verb"))}
