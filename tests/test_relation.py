@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripleloom import cli, serve, sources
 from tripleloom.functions import clean_text, local_id, ratio
-from tripleloom.operators import annotate, distant, evaluate, features, kg, models, sampling, vocab
+from tripleloom.operators import annotate, distant, evaluate, features, kg, models, sampling, vectorize, vocab
 from tripleloom.plans.relation_extraction import RelationExtraction
 from tripleloom.plans.stage import Stage
 from tripleloom.streaming import document_stream, known_mentions
@@ -39,8 +39,8 @@ def test_knowledge_base(spark):
     assert sorted((r.source, r.dest) for r in got) == [("Q1", "last"), ("Q2", "a b")]
 
 
-def sentence(spark, text):
-    return annotate.annotate(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+def sentence(spark, *texts):
+    return annotate.annotate(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
 
 
 def test_windows_and_paths(spark):
@@ -111,6 +111,49 @@ def test_vocabulary(spark):
     assert dec == {1: "g", 99: "<UNKNOWN_ID>"}
 
 
+def test_numbering_and_order_in_parts(spark):
+    words = [f"{a}{b}" for a in ("", "a", "abc", "abcd", "é", "日本語", "zz") for b in ("1", "x", "é", "abc")] * 3
+    v = vocab.word_vocabulary(spark.createDataFrame([(w,) for w in words], "token string"))
+    want = sorted(set(words), key=lambda w: w.encode(), reverse=True)
+    assert {r.token: r.id for r in v.collect()} == {w: i + 1 for i, w in enumerate(want)}
+    rows = [(i * 37 % 101 / 250_000, i * 7 % 3 == 0) for i in range(200)] + [(0.5, True), (0.5, False), (float("inf"), True), (-2.0, False)]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    got = models.area_under_roc(spark.createDataFrame(rows, "score double, label boolean").withColumn("label", F.col("label").cast("int"))).first().auroc
+    assert abs(got - auc) < 1e-12
+    assert models.area_under_roc(spark.createDataFrame([], "score double, label int")).first().auroc is None
+
+
+def test_vectors_by_hand(spark):
+    """Every slot of the vectors of two sentences, one of them without known words, against the layout written out."""
+    import numpy as np
+
+    s = sentence(spark, "universe the alphabet", "cosmology of countries")
+    points = features.with_features(features.directed(features.entity_pairs(s, paths=True)))
+    vec = {"the": [1.0, 2.0], "universe": [3.0, 4.0], "alphabet": [5.0, 6.0], "__UNKNOWN__": [9.0, 9.0]}
+    tags, types, deps = {"noun": 1, "det": 2}, {"person": 1, "location": 2, "organization": 3}, {"noun": 1, "det": 2}
+    model = spark.createDataFrame(list(vec.items()), "word string, vec array<float>")
+    out = vectorize.assemble(points, model, tags, types, deps).collect()
+    assert len(out) == 4
+
+    def hot(i, n):
+        return [float(i == k) for k in range(n)]
+
+    def any_hot(vs, vocabulary):
+        return [float(k in {vocabulary.get(v.lower(), 0) for v in vs}) for k in range(len(vocabulary) + 1)]
+
+    def edges(es, n):
+        some = [hot(deps.get(e.dependency.lower(), 0), 3) + vec.get(e.word, vec["__UNKNOWN__"]) + [float(e.direction)] for e in es[:n]]
+        return sum(some + [hot(0, 3) + [0.0] * 3] * (n - len(some)), [])
+
+    for r in out:
+        word = lambda ws, n: sum([vec.get(w, vec["__UNKNOWN__"]) for w in ws[:n]] + [[0.0, 0.0]] * (n - len(ws)), [])
+        tag = lambda ps, n: sum([hot(tags.get(p.lower(), 0), 3) for p in ps[:n]] + [hot(0, 3)] * (n - len(ps)), [])
+        want = word(r.word_features, 12) + tag(r.pos_features, 12) + word(r.words_between, 10) + tag(r.pos_between, 10) + any_hot(r.ent1_pos, tags) + any_hot(r.ent2_pos, tags)
+        want += any_hot([r.ent1_type], types) + any_hot([r.ent2_type], types) + edges(r.dependency_path, 8) + edges(r.ent1_dep_window, 1) + edges(r.ent2_dep_window, 1) + [float(r.ent1_is_subject)]
+        assert len(want) == vectorize.width(2, 3, 4, 3) and np.allclose(r.vector, want)
+
+
 def test_balance(spark):
     df = spark.createDataFrame([(i, 0 if i < 90 else 1 if i < 97 else 2) for i in range(100)], "k long, label int")
     n = {r.label: r["count"] for r in sampling.balance_classes(df, [F.col("k")]).groupBy("label").count().collect()}

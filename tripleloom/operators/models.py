@@ -190,8 +190,13 @@ def area_under_pr(curve: DataFrame) -> DataFrame:
 def area_under_roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """auroc: the share of positive-negative pairs in the right order, ties half, from one row for each distinct score."""
     per = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("wins", F.col("p") * (below + F.col("n") / 2))
+    # scores are ordered in parts that round alike; only the parts' sums meet in one task
+    per = per.withColumn("part", F.round(score, 4))
+    sums = per.groupBy(F.col("part").alias("q")).agg(F.sum("n").alias("all"))
+    starts = sums.select("q", (F.sum("all").over(Window.orderBy("q")) - F.col("all")).alias("start"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy(score)) - F.col("n")
+    per = per.withColumn("within", within).join(starts, F.col("part").eqNullSafe(F.col("q")))
+    per = per.withColumn("wins", F.col("p") * (F.col("start") + F.col("within") + F.col("n") / 2))
     return per.agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(ratio(F.col("w"), F.col("p") * F.col("n")).alias("auroc"))
 
 

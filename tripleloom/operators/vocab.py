@@ -11,10 +11,21 @@ from .kg import small
 UNKNOWN = "<UNKNOWN_ID>"
 
 
+#: Words are numbered in parts by so many first characters.
+LEADING = 3
+
+
 def _numbered(words: DataFrame, descending: bool = False) -> DataFrame:
-    """Ids along the order of the words: one window over the vocabulary, which is the aggregate of the tokens."""
-    order = F.col("token").desc() if descending else F.col("token").asc()
-    return words.withColumn("id", F.row_number().over(Window.orderBy(order)))
+    """Ids along the order of the words: each part's words are numbered on their own, from where the parts before it end.
+
+    Only the parts' counts meet in one task.
+    """
+    by = lambda c: F.desc(c) if descending else F.asc(c)
+    words = words.withColumn("part", F.substring("token", 1, LEADING))
+    sizes = words.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"))
+    starts = sizes.select("p", (F.sum("n").over(Window.orderBy(by("p"))) - F.col("n")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by("token")))
+    return words.withColumn("at", within).join(starts, F.col("part") == F.col("p")).select("token", (F.col("start") + F.col("at")).cast("int").alias("id"))
 
 
 def word_vocabulary(tokens: DataFrame, min_count: int = 3) -> DataFrame:

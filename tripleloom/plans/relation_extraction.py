@@ -63,10 +63,7 @@ class RelationExtraction:
         return [{r["token"]: r["id"] for r in s.get().collect()} for s in (self.pos, self.types, self.deps)]
 
     def _assemble(self, points: DataFrame) -> DataFrame:
-        import numpy as np
-
-        words = {r["word"]: np.array(r["vec"], np.float32) for r in self.vectors_df.collect()}
-        return vectorize.assemble(points, words, *self._dictionaries())
+        return vectorize.assemble(points, self.vectors_df, *self._dictionaries())
 
     def preprocess(self) -> DataFrame:
         return self.vectors.get()

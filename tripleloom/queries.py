@@ -335,7 +335,6 @@ def _points(spark, d):
     neg = D.negative_sentences(S.sample(with_pairs, 0.1, [F.col("doc_id")]), kg, config(spark).select(F.col("id").alias("relation")))
     training = D.training_sentences(D.positive_sentences(with_pairs, kg), neg)
     points = X.directed(X.entity_pairs(sents, paths=True))
-    points = points.withColumns({"ent1_type": F.col("e1.label"), "ent2_type": F.col("e2.label")})
     return X.label_points(points, training, config(spark))
 
 
@@ -354,7 +353,7 @@ def point_labels(spark, d):
 @query(f"""with {POINTS} select class_idx, point_type, count(*) n from lab where class_idx in (0, 3) or (class_idx = 1 and (case when e1s then t1 else t2 end) = 'PERSON' and (case when e1s then t2 else t1 end) = 'LOCATION')
  or (class_idx = 2 and (case when e1s then t2 else t1 end) = 'PERSON') group by all""")
 def prune_types(spark, d):
-    return X.point_census(X.prune_types(_points(spark, d), config(spark)))
+    return X.point_census(X.prune_types(_points(spark, d).withColumns({"ent1_type": F.col("e1.label"), "ent2_type": F.col("e2.label")}), config(spark)))
 
 
 @query(f"with {POINTS} select class_idx, count(*) n from lab where len(path) > 0 group by class_idx")
@@ -413,16 +412,14 @@ def embedding_lookup(spark, d):
     return V.lookup(words, vectors, "vec_id", 64).select("item_id", "pos", r6(F.col("vec")[0].cast("double")).alias("v1"), r6(F.col("vec")[63].cast("double")).alias("v64"))
 
 
-@query(f"with {OCC.replace(ENT, KG)}, pos as (select distinct doc_id, sent_id from known) select doc_id, sent_id, 32 * 64 + 24 * 6 + 2 * 4 + 10 * 6 + 11 as width, 2 * count(*) as n_points from occ join pos using (doc_id, sent_id) group by doc_id, sent_id")
+@query(f"with {POINTS} select doc_id, sent_id, 32 * 64 + 24 * 6 + 2 * 4 + 10 * 6 + 11 as width, count(*) as n_points from lab group by doc_id, sent_id")
 def feature_width(spark, d):
-    """Vectors of all points of positive sentences."""
-    sents = D.sentence_pairs(_annotated(spark, d))
-    found = D.positive_sentences(sents, known_pairs(spark, d)).select("doc_id", "sent_id").distinct()
-    p = X.with_features(X.directed(X.entity_pairs(sents.join(K.small(found), ["doc_id", "sent_id"], "left_semi"), paths=True)))
-    import numpy as np
-
+    """Vectors of all training points, with the documents' words dealt over the embeddings."""
+    p = X.with_features(_points(spark, d))
+    words = _tokens(spark, d).select(F.col("token").alias("word")).distinct().withColumn("vec_id", hash_bucket(F.col("word"), buckets=500))
+    vectors = words.join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("word", "vec")
     tags = {t: i + 1 for i, t in enumerate(("adv", "det", "noun", "num", "verb"))}
-    out = Z.assemble(p, {"the": np.ones(64, np.float32)}, tags, {t.lower(): i + 1 for i, t in enumerate(A.LABELS)}, tags)
+    out = Z.assemble(p, vectors, tags, {t.lower(): i + 1 for i, t in enumerate(A.LABELS)}, tags)
     return out.groupBy("doc_id", "sent_id").agg(F.max(F.size("vector")).alias("width"), F.count("*").alias("n_points"))
 
 
