@@ -195,6 +195,49 @@ def test_sources(spark, tmp_path):
     assert (linked.wd_sub, linked.wd_obj, linked.wd_pred) == ("Q1", "false", "Q1")
 
 
+def test_vectors_by_ranges(spark, tmp_path):
+    rows = [(f"w{i}", [float(i), float(i) / 2, -1.0]) for i in range(11)]
+    v, m = sources.write_word2vec(rows, str(tmp_path / "w2v"))
+    for n in (1, 3, 11, 50):
+        got = {r.word: r.vec for r in sources.read_word2vec(spark, f"file://{v}", f"file://{m}", rows_a_task=n).collect()}
+        assert got == dict(rows)
+
+
+def test_remote_annotation(spark):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            text = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            self.send_response(500 if text == "fail" else 200)
+            self.end_headers()
+            good = {"type": "ARTICLE", "sentences": [{"start": 0, "end": len(text)}], "tokens": [{"idx": 0, "start": 0, "end": 3, "text": text[:3], "pos": "X"}], "other": 1}
+            self.wfile.write({"junk": b"<html>", "list": b"[1]", "types": b'{"sentences": "none"}'}.get(text, json.dumps(good).encode()))
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    docs = spark.createDataFrame([(1, "ünïcode text"), (2, "fail"), (3, "junk"), (4, "list"), (5, "types"), (6, None), (None, "no id")], "doc_id long, text string")
+    try:
+        out = sources.annotate_remote(docs, f"http://127.0.0.1:{server.server_port}/annotate")
+        got = {r.doc_id: r for r in out.collect()}
+        assert len(got) == 7 and [i for i in got if got[i].error] == [2, 3, 4, 5] and "500" in got[2].error
+        assert got[1].tokens[0].text == "ünï" and got[1].sentences[0].end == 12 and got[None].text == "no id" and got[2].sentences is None
+        assert {r.doc_id for r in annotate.sentence_rows(out).collect()} == {1, None}
+    finally:
+        server.shutdown()
+        server.server_close()
+    dead = sources.annotate_remote(docs, f"http://127.0.0.1:{server.server_port}/", timeout_s=2, connect_s=1)
+    assert dead.where("error is null").count() == 0 and dead.count() == 7
+
+
+def test_evidence_documents(spark):
+    points = spark.createDataFrame([(1, [("a", "u"), (None, "v"), ("b", "w")]), (2, []), (3, None)], "point_id long, evidences array<struct<snippet: string, url: string>>")
+    assert [tuple(r) for r in sources.evidence_documents(points).orderBy("evidence").collect()] == [(1, 0, "u", "a"), (1, 2, "w", "b")]
+
+
 def test_stage_is_built_once(spark, tmp_path):
     calls = []
     s = Stage(spark, str(tmp_path / "s"), lambda: calls.append(1) or spark.range(3))

@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--demo-server", action="store_true")
     p.add_argument("--data-evaluation", action="store_true")
     p.add_argument("--model-evaluation-files", nargs="*", default=[])
+    p.add_argument("--annotator-url", help="service that annotates the texts of model evaluation")
     p.add_argument("--epochs", type=int, default=5)
     p.add_argument("--language", choices=("en", "sv"), default="en")
     p.add_argument("--stage", choices=("preprocess", "train", "full"), default="full")
@@ -45,7 +46,8 @@ def main(argv: list[str] | None = None) -> None:
     docs = sources.read_corpus(spark, a.corpus_path, a.sample_size)
     config, wikidata = sources.read_relation_config(spark, a.relation_config), sources.read_wikidata(spark, a.wiki_data)
     vectors = sources.read_word2vec(spark, f"{a.word2vec_path}/model.opt.vocab", f"{a.word2vec_path}/model.opt.vecs")
-    plan = RelationExtraction(spark, docs, config, wikidata, vectors, a.temp_data_path, lang=a.language, epochs=a.epochs, threshold=a.probability_cutoff, suffix=a.model_suffix, corefs=a.corefs)
+    annotator = (lambda texts: sources.annotate_remote(texts, a.annotator_url)) if a.annotator_url else None
+    plan = RelationExtraction(spark, docs, config, wikidata, vectors, a.temp_data_path, lang=a.language, epochs=a.epochs, threshold=a.probability_cutoff, suffix=a.model_suffix, corefs=a.corefs, annotator=annotator)
     plan.preprocess()
     if a.stage != "preprocess":
         plan.train()

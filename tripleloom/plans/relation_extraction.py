@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,11 @@ class RelationExtraction:
     dictionaries: a fixed embedding table and a few dozen tags.
     """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, config: DataFrame, wikidata: DataFrame, vectors: DataFrame, work: str, *, lang: str = "en", epochs: int = 5, threshold: float = models.THRESHOLD, suffix: str = "", corefs: bool = False, seed: int = 7) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, config: DataFrame, wikidata: DataFrame, vectors: DataFrame, work: str, *, lang: str = "en", epochs: int = 5, threshold: float = models.THRESHOLD, suffix: str = "", corefs: bool = False, seed: int = 7, annotator: Callable[[DataFrame], DataFrame] | None = None) -> None:
         if epochs < 0 or not 0 <= threshold <= 1:
             raise ValueError("epochs must be 0 or more and the threshold within 0 and 1")
         self.spark, self.docs, self.config, self.work, self.epochs, self.threshold, self.suffix, self.seed = spark, docs, config, f"{work}/{lang}", epochs, threshold, suffix, seed
-        self.vectors_df, self.corefs = vectors, corefs
+        self.vectors_df, self.corefs, self.annotator = vectors, corefs, annotator
         stage = lambda name, build: Stage(spark, f"{self.work}/{name}", build)
         self.pairs = stage("relation_entity_pairs", lambda: kg.relation_pairs(wikidata, config))
         self.sentences = stage("training_sentences", self._training)
@@ -96,7 +98,9 @@ class RelationExtraction:
         """Judged points of one file against what is extracted from their snippets: the table by relation, and the debug rows beside it."""
         folder = f"{self.work}/evaluation/{name}"
         kept = Stage(self.spark, f"{folder}/points", lambda: points.withColumn("point_id", F.monotonically_increasing_id())).get()
-        texts = kept.select(F.col("point_id").alias("doc_id"), evaluate.merged_snippet().alias("text"))
+        texts = texts_of_points = kept.select(F.col("point_id").alias("doc_id"), evaluate.merged_snippet().alias("text"))
+        if self.annotator:  # asked once; a text that it fails on has no sentences
+            texts = Stage(self.spark, f"{folder}/annotated", lambda: self.annotator(texts_of_points)).get()
         linked = annotate.sentence_rows(texts, annotate.PREDICT_LENGTH).select(F.col("doc_id").alias("point_id"), F.explode(F.transform("entities", lambda e: local_id(e["id"]))).alias("id"))
         linked = linked.groupBy("point_id").agg(F.collect_set("id").alias("linked"))
         found = Stage(self.spark, f"{folder}/predictions", lambda: predict.known_classes(self.extract(texts))).get()

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
 
@@ -76,25 +76,33 @@ def link_ids(points: DataFrame, mapping: DataFrame, columns: tuple[str, ...] = (
     return points
 
 
-def read_word2vec(spark: SparkSession, vocab: str, vectors: str) -> DataFrame:
+def read_word2vec(spark: SparkSession, vocab: str, vectors: str, rows_a_task: int = 50_000) -> DataFrame:
     """word, vec from a vocabulary file (a count, then a word a line) and a file of an int32 length and float32 rows.
 
-    Both are read by Spark; the rows' ranges are cut on the executors, so the driver holds no vector.
+    Rows have one length, so each task opens the file at its own rows: it may have any size, and the driver reads its
+    length only. The vectors' file system is one that pyarrow opens (local, hdfs, s3, gs).
     """
+    from pyarrow.fs import FileSystem
+
+    def at(path: str):
+        fs, p = FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+        return fs.open_input_file(p)
+
     words = spark.read.text(vocab, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "word")).where("line > 0 and word <> ''")
-    blob = spark.read.format("binaryFile").load(vectors).select("content")
+    with at(vectors) as f:
+        dim, size = int(np.frombuffer(f.read(4), "<i4")[0]), f.size()
+    n = (size - 4) // (4 * dim)
 
     def cut(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                raw = content.as_buffer()
-                dim = int(np.frombuffer(raw, "<i4", 1)[0])
-                m = np.frombuffer(raw, "<f4", offset=4).reshape(-1, dim)
-                for at in range(0, len(m), 10_000):
-                    some = m[at : at + 10_000]
-                    yield pa.record_batch([pa.array(np.arange(at + 1, at + 1 + len(some)), pa.int32()), pa.array(list(some), pa.list_(pa.float32()))], names=["row", "vec"])
-
-    rows = blob.mapInArrow(cut, "row int, vec array<float>")
+            for start in batch.column("id").to_pylist():
+                with at(vectors) as f:
+                    f.seek(4 + start * 4 * dim)
+                    flat = np.frombuffer(f.read(min(rows_a_task, n - start) * 4 * dim), "<f4")
+                lines = np.arange(start + 1, start + 1 + len(flat) // dim, dtype=np.int32)
+                yield pa.record_batch([pa.array(lines), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))], names=["row", "vec"])
+
+    rows = spark.range(0, n, rows_a_task, max(1, -(-n // rows_a_task))).mapInArrow(cut, "row int, vec array<float>")
     return words.join(rows, F.col("line") == F.col("row")).select("word", "vec")
 
 
@@ -109,28 +117,59 @@ def write_word2vec(rows: list[tuple[str, list[float]]], folder: str) -> tuple[st
     return v, m
 
 
-def annotate_remote(docs: DataFrame, url: str, out_schema, timeout_s: float = 60.0, connect_s: float = 5.0) -> DataFrame:
-    """Posts each text to an annotation service and reads its JSON; a time-out or refused connection gives no row."""
+def annotate_remote(docs: DataFrame, url: str, timeout_s: float = 60.0, connect_s: float = 5.0) -> DataFrame:
+    """Documents (doc_id, text) with the annotation columns of schemas.CORPUS that a service gives for the posted text, and error.
+
+    A text whose request fails (no connection, time-out, another status than 200, no JSON) stays as a row with null
+    annotation and the error's text; the others' error is null.
+    """
     import json
+    from urllib.parse import urlsplit
 
-    names = [f.name for f in out_schema]
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches):
-        import urllib.error
-        import urllib.request
+    given = [f for f in schemas.CORPUS if f.name not in ("doc_id", "text")]
+    names = [f.name for f in given]
+    schema = StructType([docs.schema["doc_id"], docs.schema["text"], *given, StructField("error", StringType())])
+    arrow = to_arrow_schema(schema)
+    to = urlsplit(url)
+
+    def post(text: str) -> dict:
+        import http.client
+
+        kind = http.client.HTTPSConnection if to.scheme == "https" else http.client.HTTPConnection
+        c = kind(to.hostname, to.port, timeout=connect_s)
+        try:
+            c.connect()
+            c.sock.settimeout(timeout_s)
+            c.request("POST", (to.path or "/") + (f"?{to.query}" if to.query else ""), text.encode("utf-8"), {"Content-Type": "text/plain; charset=utf-8"})
+            reply = c.getresponse()
+            if reply.status != 200:
+                raise OSError(f"status {reply.status}")
+            found = json.loads(reply.read())
+            return {n: found.get(n) for n in names}
+        finally:
+            c.close()
+
+    def one(doc_id, text) -> dict:
+        import http.client
+
+        row = dict.fromkeys(names) | {"doc_id": doc_id, "text": text, "error": None}
+        try:
+            # a reply that doesn't have the columns' types is an error of its document, not of the batch
+            return pa.Table.from_pylist([row | post(text or "")], schema=arrow).to_pylist()[0]
+        except (OSError, ValueError, TypeError, AttributeError, http.client.HTTPException, pa.ArrowException) as e:
+            return row | {"error": f"{type(e).__name__}: {e}"}
 
+    def run(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                try:
-                    req = urllib.request.Request(url, data=(text or "").encode("utf-8"), method="POST")
-                    with urllib.request.urlopen(req, timeout=max(connect_s, timeout_s)) as r:
-                        rows.append(json.loads(r.read()))
-                except (TimeoutError, urllib.error.URLError):
-                    continue
-            yield from pa.Table.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=arrow).to_batches()
+            rows = [one(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(out_schema)
-    return docs.select("text").mapInArrow(run, out_schema)
+def evidence_documents(points: DataFrame) -> DataFrame:
+    """point_id, evidence (its place from 0), url, text: a document for each piece of evidence of judged points that has a text."""
+    rows = points.select("point_id", F.posexplode("evidences").alias("evidence", "e"))
+    return rows.select("point_id", "evidence", F.col("e.url").alias("url"), F.col("e.snippet").alias("text")).where("text is not null")
