@@ -25,7 +25,8 @@ def _numbered(words: DataFrame, descending: bool = False) -> DataFrame:
     sizes = words.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"))
     starts = sizes.select("p", (F.sum("n").over(Window.orderBy(by("p"))) - F.col("n")).alias("start"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(by("token")))
-    return words.withColumn("at", within).join(starts, F.col("part") == F.col("p")).select("token", (F.col("start") + F.col("at")).cast("int").alias("id"))
+    # null-safe, so that no filter for nulls parts the two readings of the words' aggregate: it is shuffled once
+    return words.withColumn("at", within).join(starts, F.col("part").eqNullSafe(F.col("p"))).select("token", (F.col("start") + F.col("at")).cast("int").alias("id"))
 
 
 def word_vocabulary(tokens: DataFrame, min_count: int = 3) -> DataFrame:
