@@ -60,13 +60,17 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. A source's line ends inside one document, which then gives its text up to that word's end."""
-    rows = mix_sources(docs, carry=docs.columns).where("taken > 0")
-    copies = F.expr("sequence(1L, CAST(ceil(taken / size) AS BIGINT))")
-    rows = rows.withColumn("copy", F.explode(copies)).withColumn("part", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    """Every document as often as the mix takes it, in the mix's order. A source's line ends inside one document, which then gives its text up to that word's end."""
+    rows = mix_sources(docs, carry=docs.columns)
+    rows = rows.select("carried", "size", "taken", "mix_words", F.posexplode("places").alias("copy", "place"))
+    rows = rows.withColumn("part", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
     text = F.col("carried.text")
     cut = F.array_join(F.slice(F.split(text, WORD_END), F.lit(1), F.col("part").cast("int")), "")
-    return carried(rows, docs, F.when(F.col("part") == F.col("size"), text).otherwise(cut))
+    rows = rows.withColumn("text", F.when(F.col("part") == F.col("size"), text).otherwise(cut)).select("carried", "text", "place", "mix_words")
+    # equal shares of the mix, one after the other
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionById(n, F.floor(F.col("place") / F.col("mix_words") * n).cast("int")).sortWithinPartitions("place")
+    return carried(rows, docs, F.col("text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ Targets share all words by source weight and stop at a multiple of the source's
 over the sources). The mix is a row of slots of about one block each. Slot j sits at the golden-ratio point frac(j * phi), which the cumulative targets map to
 a source; the slots of a source are ranked and share its target evenly, so together they take exactly that many words of
 its shuffled documents in turn, pass after pass. A source too small for any of these points gets a slot of its own.
+What a document gives, and where in the mix, is read off the slots that its words fall in.
 Positions and ranks are two-level prefix sums, over hashed chunks of a source, so a hot source is spread like the others, and
 over sources by their first characters.
 
@@ -86,6 +87,34 @@ def schedule(targets: DataFrame, n_sources: int, total: int, block: int) -> Data
     return found.select("slot", "sid", "slot_rank", upto(F.col("slot_rank")).alias("start"), upto(F.col("slot_rank") + 1).alias("end"))
 
 
+def in_mix(slots: DataFrame, n_slots: int) -> DataFrame:
+    """Slots that hold words, with `place`: the words of the mix before them."""
+    inside = Window.partitionBy("part").orderBy("slot", "sid").rowsBetween(Window.unboundedPreceding, 0)
+    length = F.col("end") - F.col("start")
+    slots = slots.where("end > start").withColumn("part", F.floor(F.col("slot") / max(256, int(n_slots**0.5))))
+    sums = slots.groupBy("part").agg(F.sum(length).alias("words"))  # some root of the slots
+    sums = sums.select(F.col("part").alias("p"), (F.sum("words").over(Window.orderBy("part")) - F.col("words")).alias("base"))
+    slots = slots.withColumn("ahead", F.sum(length).over(inside) - length)
+    return slots.join(sums, F.col("part") == F.col("p")).select("slot", "sid", "start", "end", (F.col("base") + F.col("ahead")).alias("place"))
+
+
+def read_slots(line: DataFrame, slots: DataFrame, max_repeat: int, width: int) -> DataFrame:
+    """What the slots read of a line of documents (row, sid, position, size, source_size): row, taken, places.
+
+    Spans of the line and of the slots are cut at every `width` words and meet there.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    passes = F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))
+    docs = line.where("size > 0").select("row", "sid", "position", "size", "source_size", "target", passes.alias("pass"))
+    docs = docs.withColumn("a", F.col("position") + F.col("pass") * F.col("source_size")).withColumn("b", F.col("a") + F.col("size"))
+    docs = docs.where("a < target + 1").select("row", "pass", F.col("sid").alias("s"), "a", "b", bins(F.col("a"), F.col("b")).alias("at"))
+    slots = slots.select("sid", "start", "end", "place", bins(F.col("start"), F.col("end")).alias("bin"))
+    met = docs.join(slots, (F.col("s") == F.col("sid")) & (F.col("at") == F.col("bin")))
+    met = met.withColumn("from", F.greatest("a", "start", F.col("bin") * width)).withColumn("to", F.least("b", "end", (F.col("bin") + 1) * width)).where("from < to")
+    first = lambda k: F.max(F.when((F.col("pass") == k) & (F.col("from") == F.col("a")), F.col("place") + F.col("a") - F.col("start")))
+    return met.groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"), F.array_compact(F.array(*[first(k) for k in range(max_repeat)])).alias("places"))
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -98,12 +127,14 @@ def mix_sources(
     seed: int = 17,
     carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, and position (its first word's place in its source's shuffled line).
+    """One row per document: id, size, source_size, target, taken, position (its first word's place in its source's shuffled line), places and mix_words.
 
-    block: words in a block; it sets how fine the mix is, not what a source gets. carry: columns passed through in a struct `carried` instead of the id.
+    taken: the words that the schedule's slots read of it. places: for each time that it is read from its start, that word's place in the
+    mix of mix_words words. block: words in a block; it sets how fine the mix is, not what a source gets. carry: columns passed through in a
+    struct `carried` instead of the id.
     """
     keep = F.struct(*carry).alias("carried") if carry else F.col(id_col).alias("carried")
-    sizes = docs.select(keep, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("h"))
+    sizes = docs.select(F.monotonically_increasing_id().alias("row"), keep, F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_of(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("h"))
     sizes = materialise(sizes, "mix-sizes")
     targets = materialise(source_targets(sizes, weights, max_repeat), "mix-targets")
     n_sources, total = targets.agg(F.count("*"), F.sum("source_size")).first()
@@ -111,18 +142,22 @@ def mix_sources(
     chunks = max(1, int(sizes.count() ** 0.5))
 
     of_source = _small(targets.select(F.col("source").alias("s"), "sid", "source_size", "target"), n_sources)
-    rows = sizes.join(of_source, F.col("source").eqNullSafe(F.col("s")))
+    rows = sizes.select("row", "id", "source", "size", "h").join(of_source, F.col("source").eqNullSafe(F.col("s")))
     rows = rows.withColumn("chunk", F.pmod("h", F.lit(chunks)))
-    inside = Window.partitionBy("sid", "chunk").orderBy("h", "id", "size")
-    rows = rows.withColumn("rn", F.row_number().over(inside)).withColumn("ahead", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    inside = Window.partitionBy("sid", "chunk").orderBy("h", "id", "size", "row")
+    rows = rows.withColumn("ahead", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    rows = rows.join(sums, ["sid", "chunk"]).withColumn("position", F.col("base") + F.col("ahead"))
-
-    words = schedule(targets, n_sources, total, block).groupBy("sid").agg(F.max("end").alias("words"))
-    out = rows.join(_small(words, n_sources), "sid", "left")
-    # whole passes over the source's line, and what the last one takes from its start
-    rest = F.col("words") % F.col("source_size") - F.col("position")
-    taken = F.floor(F.col("words") / F.col("source_size")) * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    out = out.withColumn("taken", F.when(F.col("size") > 0, taken))
-    return out.select(F.col("carried").alias("carried" if carry else id_col), F.col("size").cast("long").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("position").cast("long").alias("position"))
+    rows = rows.join(sums, ["sid", "chunk"]).withColumn("position", (F.col("base") + F.col("ahead")).cast("long"))
+    line = materialise(rows.select("row", "sid", "size", "source_size", "target", "position"), "mix-line")
+
+    slots = materialise(schedule(targets, n_sources, total, block), "mix-slots")
+    slots = materialise(in_mix(slots, slots.count()), "mix-places")
+    mix_words = slots.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    read = read_slots(line, slots, max_repeat, max(block, 1024)).withColumnRenamed("row", "r")
+    out = line.join(read, F.col("row") == F.col("r"), "left").drop("r")
+    out = out.join(sizes.select(F.col("row").alias("r"), "carried"), F.col("row") == F.col("r"))
+    return out.select(
+        F.col("carried").alias("carried" if carry else id_col), "size", F.col("source_size").cast("long").alias("source_size"), "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "position", F.coalesce("places", F.array().cast("array<bigint>")).alias("places"), F.lit(mix_words).cast("long").alias("mix_words"),
+    )

@@ -25,7 +25,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).drop("position")
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.withColumn("mix_at", F.get("places", F.lit(0))).drop("position", "places", "mix_words")
 
 
 def op3_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
