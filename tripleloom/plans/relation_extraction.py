@@ -57,9 +57,9 @@ class RelationExtraction:
         return distant.training_sentences(positive, negative)
 
     def _points(self) -> DataFrame:
-        points = features.with_features(features.directed(features.entity_pairs(self._annotated(), paths=True)))
-        labelled = features.label_points(points, self.sentences.get(), self.config)
-        return features.prune_types(features.prune_paths(labelled), self.config).drop("pairs", "e1", "e2", "path", "sent", "tokens", "heads")
+        sents = features.in_training(self._annotated().drop("pairs"), self.sentences.get(), self.config)
+        points = features.directed(features.with_features(features.prune_paths(features.entity_pairs(sents, paths=True))))
+        return features.prune_types(features.label_points(points), self.config).drop("e1", "e2", "path", "sent", "tokens", "heads")
 
     def _dictionaries(self) -> list[dict]:
         return [{r["token"]: r["id"] for r in s.get().collect()} for s in (self.pos, self.types, self.deps)]
