@@ -51,3 +51,25 @@ def test_vectors_travel_before_pairs(spark, unknown):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(early) == rows(late) and len(rows(early)) == 6 + 2 + 2 + 4
     assert early._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0].count("Join") == 0
+
+
+def test_coreference_reads_once_and_meets_nearby(spark):
+    """Copies by brute force, with nested, long, proper and null mentions; one shuffle; entities of a document don't meet all of its mentions."""
+    import random
+
+    rng = random.Random(7)
+    mentions, entities = [(1, None, 0, 900, "NOMINAL"), (None, "c", 0, 9, "NOMINAL"), (2, "c", 5, 400, None), (2, "c", 300, 310, "PRONOMINAL")], [(None, "x", "L", 1, 2), (2, "far", "L", 395, 400), (3, "alone", None, 0, 1)]
+    for _ in range(60):
+        at, n = rng.randrange(900), rng.choice([1, 3, 70, 200])
+        mentions.append((1, f"c{rng.randrange(9)}", at, at + n, rng.choice(["PROPER", "NOMINAL", "PRONOMINAL"])))
+        entities.append((1, f"e{rng.randrange(20)}", "L", s := rng.randrange(1000), s + rng.randrange(1, 4)))
+    want = set(entities)
+    for d, i, label, s, e in entities:
+        for chain in {m[1] for m in mentions if m[0] == d is not None and m[1] and m[2] <= s and m[3] >= e}:
+            want |= {(d, i, label, m[2], m[3]) for m in mentions if m[:2] == (d, chain) and m[4] not in ("PROPER", None)}
+    m = spark.createDataFrame(mentions, "doc_id long, chain string, m_start int, m_end int, mtype string")
+    e = spark.createDataFrame(entities, "doc_id long, id string, label string, start int, end int")
+    out = annotate.propagate_coreference(m, e)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    physical = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert physical.count("Exchange hashpartitioning") == 1 and "Join" not in physical
