@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bind
 from .annotate import PREDICT_LENGTH, sentence_rows
 from .features import directed, entity_pairs, prune_types, with_features
 from .kg import small
@@ -17,7 +18,7 @@ UNKNOWN_CLASS = "<unknown_class>"
 
 def candidate_points(docs: DataFrame, corefs: bool = False) -> DataFrame:
     """Directed entity pairs with features from all sentences of prediction length; paths may be empty."""
-    return with_features(directed(entity_pairs(sentence_rows(docs, PREDICT_LENGTH, corefs), paths=True)))
+    return directed(with_features(entity_pairs(sentence_rows(docs, PREDICT_LENGTH, corefs), paths=True)))
 
 
 def name_predicates(points: DataFrame, config: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def name_predicates(points: DataFrame, config: DataFrame) -> DataFrame:
 
 def extract_relations(docs: DataFrame, config: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, corefs: bool = False) -> DataFrame:
     """Triples with sentence, source and the three probabilities. score adds filter_probability and class_probabilities."""
-    scored = score(candidate_points(docs, corefs)).withColumn("p", two_stage(F.col("filter_probability"), F.col("class_probabilities"), threshold))
+    scored = bind(score(candidate_points(docs, corefs)), p=two_stage(F.col("filter_probability"), F.col("class_probabilities"), threshold))
     rows = scored.withColumn("class_idx", F.col("p.class_idx")).where("class_idx <> 0")
     rows = name_predicates(prune_types(rows, config), config)
     return rows.select(
